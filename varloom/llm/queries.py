@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import shared_path, table
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.line_dedup import line_dedup
@@ -23,12 +25,40 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("metadata.page_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", "record_type", "response.refers_to")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
+    from varloom.llm.sentencepiece import PieceModel, decode, encode
+
+    model = PieceModel.load(model_path)
+    tokens = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return decode(tokens, model).select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.mixing import mix_sources
 
@@ -38,8 +68,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 OP1_SQL = """
@@ -75,4 +109,19 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS text_sha256 FROM n JOIN g ON n.norm = g.norm
 """
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+OP10_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS low FROM embeddings
+  UNION
+  SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node WHERE r.low < l.b
+), component AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component ON node = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
+"""
+
+ORACLE_SQL = {"op10_embedding_dedup": OP10_SQL, "op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
