@@ -39,6 +39,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENI
     return decode(tokens, model).select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.html_extract import extract_main_text
+
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.toxicity import fit, held_out, score
 
@@ -70,6 +77,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extract": op5_html_extract,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
