@@ -60,6 +60,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.embedding_dedup import embedding_dedup
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
