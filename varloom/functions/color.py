@@ -208,14 +208,20 @@ def rgb_to_hex(r: Column, g: Column, b: Column, a: Column | None = None) -> Colu
 
 def hsl_to_rgb(h: Column, s: Column, l: Column) -> Column:  # noqa: E741
     """struct<r,g,b> from degrees and percentages; a hue of 360 or more has no sector."""
-    s, l = s / 100.0, l / 100.0  # noqa: E741
-    c = (F.lit(1.0) - F.abs(2 * l - 1)) * s
-    x = c * (F.lit(1.0) - F.abs((h / 60.0) % 2 - 1))
-    m = l - c / 2
-    zero = F.lit(0.0)
-    sector = lambda *six: F.when(h < 60, six[0]).when(h < 120, six[1]).when(h < 180, six[2]).when(h < 240, six[3]).when(h < 300, six[4]).when(h < 360, six[5]).otherwise(zero)
-    full = lambda v: F.floor((v + m) * 255 + 0.5).cast("int")
-    return F.struct(full(sector(c, x, zero, zero, x, c)).alias("r"), full(sector(x, c, c, x, zero, zero)).alias("g"), full(sector(zero, zero, x, c, c, x)).alias("b"))
+    chroma = lambda v: (F.lit(1.0) - F.abs(2 * v["l"] - 1)) * v["s"]
+    mixed = let(
+        let(F.struct(h.alias("h"), (s / 100.0).alias("s"), (l / 100.0).alias("l")), lambda v: F.struct(v["h"].alias("h"), v["l"].alias("l"), chroma(v).alias("c"))),
+        lambda v: F.struct(v["h"].alias("h"), v["c"].alias("c"), (v["c"] * (F.lit(1.0) - F.abs((v["h"] / 60.0) % 2 - 1))).alias("x"), (v["l"] - v["c"] / 2).alias("m")),
+    )
+
+    def channels(v: Column) -> Column:
+        zero, hue = F.lit(0.0), v["h"]
+        sector = lambda *six: F.when(hue < 60, six[0]).when(hue < 120, six[1]).when(hue < 180, six[2]).when(hue < 240, six[3]).when(hue < 300, six[4]).when(hue < 360, six[5]).otherwise(zero)
+        full = lambda e: F.floor((e + v["m"]) * 255 + 0.5).cast("int")
+        c, x = v["c"], v["x"]
+        return F.struct(full(sector(c, x, zero, zero, x, c)).alias("r"), full(sector(x, c, c, x, zero, zero)).alias("g"), full(sector(zero, zero, x, c, c, x)).alias("b"))
+
+    return let(mixed, channels)
 
 
 def _number(text: Column) -> Column:
@@ -250,26 +256,31 @@ def _parse(value: Column, clean: Column) -> Column:
         .when(clean.rlike(r"^#[0-9a-f]{6}\z"), long6).when(clean.rlike(r"^#[0-9a-f]{8}\z"), long8)
     )
     for kind, pattern in FUNCTIONAL.items():
-        part = lambda k, p=pattern: F.regexp_extract(value, p, k)
-        n = [part(k).try_cast("int") for k in (1, 2, 3)]
-        with_alpha = kind[-1] == "a"
-        a = one
-        if with_alpha:
-            a = _number(part(4))
-        elif kind.endswith("_blank"):
-            raw = part(4)
-            a = F.when(raw == "", one).otherwise(F.when(F.endswith(raw, F.lit("%")), _number(raw) / 100).otherwise(_number(raw)))
-        base = kind[:3]
-        if base == "rgb":
-            r, g, b = n
-        else:
-            turned = hsl_to_rgb(*n)
-            r, g, b = turned["r"], turned["g"], turned["b"]
-        form = F.lit(kind) if not kind.endswith("_blank") else F.when(a < 1, base + "a").otherwise(base)
-        out = out.when(value.rlike(pattern), color(form, r, g, b, a, rgb_to_hex(r, g, b, a)))
+        out = out.when(value.rlike(pattern), _functional(value, kind, pattern, color))
     return out
 
 
+def _functional(value: Column, kind: str, pattern: str, color) -> Column:
+    """Colour of a value in one functional notation."""
+    part = lambda k: F.regexp_extract(value, pattern, k)
+    base = kind[:3]
+    if kind[-1] == "a":
+        a = _number(part(4))
+    elif kind.endswith("_blank"):
+        a = let(part(4), lambda raw: F.when(raw == "", F.lit(1.0)).otherwise(F.when(F.endswith(raw, F.lit("%")), _number(raw) / 100).otherwise(_number(raw))))
+    else:
+        a = F.lit(1.0)
+    n = [part(k).try_cast("int") for k in (1, 2, 3)]
+    rgb = F.struct(*[x.alias(c) for x, c in zip(n, "rgb", strict=True)]) if base == "rgb" else hsl_to_rgb(*n)
+
+    def whole(q: Column) -> Column:
+        r, g, b, alpha = q["rgb"]["r"], q["rgb"]["g"], q["rgb"]["b"], q["a"]
+        form = F.when(alpha < 1, base + "a").otherwise(base) if kind.endswith("_blank") else F.lit(kind)
+        return color(form, r, g, b, alpha, rgb_to_hex(r, g, b, alpha))
+
+    return let(F.struct(rgb.alias("rgb"), a.alias("a")), whole)
+
+
 def rgb_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two colour structs; alpha does not count."""
     return F.sqrt(sum((F.pow((a[c] - b[c]).cast("double"), F.lit(2.0)) for c in ("r", "g", "b")), F.lit(0.0)))
