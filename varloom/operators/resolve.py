@@ -42,7 +42,7 @@ def resolve(index: DataFrame, names: DataFrame | None = None) -> DataFrame:
     resolved = F.aggregate(tail, start, lambda acc, x: F.struct(x["name"].alias("name"), F.when(acc["name"].isNull(), x["value"]).otherwise(replace_first(x["value"], F.concat(F.lit("var("), acc["name"], F.lit(")")), acc["value"])).alias("value")), lambda acc: acc["value"])
     found = F.size("links") > 0
     chain = F.transform("links", lambda x: x["name"])
-    out = walk.withColumn("resolved_value", resolved).withColumn("found", found).withColumn("value", F.element_at("links", 1)["value"]).withColumn("chain", F.when(F.col("missing").isNotNull(), F.concat(chain, F.array("missing"))).otherwise(chain))
+    out = walk.withColumn("resolved_value", resolved).withColumn("found", found).withColumn("value", F.get("links", F.lit(0))["value"]).withColumn("chain", F.when(F.col("missing").isNotNull(), F.concat(chain, F.array("missing"))).otherwise(chain))
     # a chain of one unresolved link keeps the raw value's colour; any other is judged by what it resolved to
     return out.select("name", "found", "value", "resolved_value", "chain", F.coalesce(is_color(F.col("resolved_value")), F.lit(False)).alias("is_color"), "stop")
 
