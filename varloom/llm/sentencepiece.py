@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,11 @@ INDEX_CHARS = 200_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
 MEMORY = 400_000
 
+#: Letters from which a word is relaxed by itself.
+LONG = 64
+#: Larger than any piece number or code point; marks a position that no piece has reached.
+CODES, NONE = 1 << 22, -(1 << 40)
+
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -51,16 +57,26 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(model.pieces) if i not in model.skipped}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("pieces that go on after a blank are not supported")
-        self.scores = model.scores
+        self.pieces, self.scores = model.pieces, model.scores
         self.width = max(map(len, self.ids))
         self.separator = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in p for p in self.ids))
         self.byte_ids = {b: i for i, b in model.bytes.items()}
         self.raw = [bytes([model.bytes[i]]) if i in model.bytes else b"" if i in model.skipped else p.encode() for i, p in enumerate(model.pieces)]
         names = sorted(self.ids)
         self.names, self.lengths = np.array(names, dtype=f"U{self.width}"), np.array([len(p) for p in names])
+        self.numbers = np.array([self.ids[p] for p in names])
         self.last = np.array([p + chr(0x10FFFF) * (self.width - len(p)) for p in names], dtype=f"U{self.width}")
-        self.words: dict[str, list[int]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # a line feed that no piece holds parts a text: nothing is joined across it
+        self.parts_lines = not any("\n" in p for p in self.ids)
+        self.line_end = np.array(self._unknown("\n"), np.int32).tobytes()
+        # ids of words, four bytes each
+        self.words: dict[str, bytes] = {}  # with the blank in front, which the key leaves out
+        self.starts: dict[str, bytes] = {}  # without one
+        self.one: dict[tuple[int, int], bool] = {}
+        self.pairs, self.fits = np.array([-1], np.int64), np.zeros(1, bool)
+
+    def _unknown(self, letter: str) -> list[int]:
+        return [self.byte_ids.get(b, 0) for b in letter.encode("utf-8", "replace")]
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition, for short strings: join the best-scored neighbours, leftmost first."""
@@ -76,24 +92,39 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether BPE keeps right behind left: it does in a text when it does for every two neighbours."""
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 4 * MEMORY:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+    def _name(self, piece: int) -> str:
+        """A piece, a character without one (below -1), or nothing (-1)."""
+        return self.pieces[piece] if piece >= 0 else "" if piece == -1 else chr(-piece - 2)
+
+    def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE keeps right behind left: it does in a text when it does for every two neighbours.
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of every occurrence of every piece, sorted by end, longest first.
+        Answers are remembered as a sorted table of pair codes.
+        """
+        codes, where = np.unique((left + CODES) * CODES + right, return_inverse=True)
+        at = np.searchsorted(self.pairs, codes)
+        known = (at < len(self.pairs)) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] == codes)
+        answer = np.zeros(len(codes), bool)
+        answer[known] = self.fits[at[known]]
+        if not known.all():
+            new = codes[~known]
+            found = np.array([self.merged(a + b) == ([a, b] if a else [b]) for a, b in ((self._name(int(c // CODES - CODES)), self._name(int(c % CODES))) for c in new)], bool)
+            answer[~known] = found
+            if len(self.pairs) > 4 * MEMORY:
+                self.pairs, self.fits = self.pairs[:1], self.fits[:1]
+            pairs, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, found])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs, self.fits = pairs[order], fits[order]
+        return answer[where]
+
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every occurrence of every piece, sorted by end, longest first.
 
         Works in slices of INDEX_CHARS that overlap by a piece's width, so its
         memory does not grow with the text.
         """
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        starts, sizes = [], []
+        starts, sizes, pieces = [], [], []
         for s in range(0, len(codes), INDEX_CHARS):
             part = codes[s : s + INDEX_CHARS + self.width - 1]
             n = min(INDEX_CHARS, len(codes) - s)
@@ -106,71 +137,145 @@ class Codec:
             hit = np.nonzero(count)[0]
             count = count[hit]
             ranges = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            starts.append(order[ranges] + s), sizes.append(np.repeat(self.lengths[hit], count))
-        start, size = np.concatenate(starts), np.concatenate(sizes)
+            starts.append(order[ranges] + s), sizes.append(np.repeat(self.lengths[hit], count)), pieces.append(np.repeat(self.numbers[hit], count))
+        start, size, piece = (np.concatenate(x).astype(np.int64) for x in (starts, sizes, pieces))
         by_end = np.lexsort((start, start + size))
-        return start[by_end], size[by_end]
+        return start[by_end], (start + size)[by_end], piece[by_end]
 
-    def learn(self, words: list[str]) -> None:
-        """Segment words that are not known yet."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from the edges of all of them together, relaxed position by position in all words at once."""
         text = self.separator.join(words)
-        starts, sizes = self.edges(text) if text else (np.zeros(0, int), np.zeros(0, int))
-        begins = np.cumsum([0, *[len(w) + 1 for w in words]])
-        # a separator inside a word is an ordinary character of it
-        first = set(begins.tolist())
-        last: list[str | None] = [None] * (len(text) + 1)  # the piece that ends at each position
-        begin, ends = starts.tolist(), (starts + sizes).tolist()
-        e, n = 0, len(begin)
-        for w, at in zip(words, begins.tolist(), strict=False):
-            stop = at + len(w)
-            for j in range(at + 1, stop + 1):
-                while e < n and ends[e] < j:
-                    e += 1
-                while e < n and ends[e] == j:
-                    i = begin[e]
-                    e += 1
-                    if last[j] is None and i >= at:
-                        piece = text[i:j]
-                        if self.follows("" if i in first and i == at else last[i], piece):
-                            last[j] = piece
-                if last[j] is None:  # a character without a piece
-                    last[j] = text[j - 1]
-            out, j = [], stop
-            while j > at:
-                piece = last[j]
-                i = self.ids.get(piece)
-                out.append([i] if i is not None else [self.byte_ids.get(b, 0) for b in piece.encode("utf-8", "replace")])
-                j -= len(piece)
-            self.words[w] = [x for p in reversed(out) for x in p]
+        lengths = np.array([len(w) for w in words])
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        start, end, piece = self.edges(text) if text else (np.zeros(0, np.int64),) * 3
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        owner = np.searchsorted(begins, start, "right") - 1
+        step = end - begins[owner]
+        # an edge that reaches over a word's end belongs to none
+        fits = step <= lengths[owner]
+        start, end, piece, step = start[fits], end[fits], piece[fits], step[fits]
+        order = np.argsort(step, kind="stable")
+        start, end, piece, step = start[order], end[order], piece[order], step[order]
+        last = np.full(len(text) + 1, NONE, np.int64)  # the piece that ends at each position
+        last[begins] = -1
+        longest = int(lengths.max(initial=0))
+        bounds = np.searchsorted(step, np.arange(1, longest + 2))
+        by_length = np.argsort(-lengths, kind="stable")
+        still = np.searchsorted(-lengths[by_length], -np.arange(1, longest + 1), "right")
+        for t in range(1, longest + 1):
+            lo, hi = bounds[t - 1], bounds[t]
+            ok = self._fitting(last[start[lo:hi]], piece[lo:hi]) if hi > lo else np.zeros(0, bool)
+            last[end[lo:hi][ok]] = piece[lo:hi][ok]
+            here = begins[by_length[: still[t - 1]]] + t
+            here = here[last[here] == NONE]
+            last[here] = -2 - letters[here - 1]  # characters without a piece
+        at, live, found = begins + lengths, np.nonzero(lengths)[0], []
+        sizes = np.array([len(p) for p in self.pieces])
+        while len(live):
+            p = last[at[live]]
+            found.append((live, p))
+            at[live] -= np.where(p >= 0, sizes[np.maximum(p, 0)], 1)
+            live = live[at[live] > begins[live]]
+        if not found:
+            return [b"" for _ in words]
+        owner = np.concatenate([w for w, _ in found][::-1])
+        ids = np.concatenate([p for _, p in found][::-1])
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        plain, strange = ids.astype(np.int32).tobytes(), set(owner[ids < 0].tolist())
+        out = [plain[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for w in strange:
+            out[w] = np.array([x for p in ids[cuts[w] : cuts[w + 1]].tolist() for x in ([p] if p >= 0 else self._unknown(chr(-p - 2)))], np.int32).tobytes()
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = {c for words in cut for c in words} - self.words.keys()
-        if len(self.words) + len(new) > MEMORY:
-            self.words.clear()
-            new = {c for words in cut for c in words}
+    def learn_long(self, word: str) -> bytes:
+        """Ids of one long word, relaxed edge by edge: positions are many and words one."""
+        start, end, piece = (x.tolist() for x in self.edges(word))
+        last = [NONE] * (len(word) + 1)
+        last[0], known = -1, self.one
+        if len(known) > MEMORY:
+            known.clear()
+        at = 0
+        for j in range(1, len(word) + 1):
+            while at < len(end) and end[at] == j:
+                if last[j] == NONE:
+                    pair = last[start[at]], piece[at]
+                    ok = known.get(pair)
+                    if ok is None:
+                        a, b = self._name(pair[0]), self._name(pair[1])
+                        ok = known[pair] = self.merged(a + b) == ([a, b] if a else [b])
+                    if ok:
+                        last[j] = piece[at]
+                at += 1
+            if last[j] == NONE:
+                last[j] = -2 - ord(word[j - 1])
+        out, j = [], len(word)
+        while j:
+            p = last[j]
+            out.append([p] if p >= 0 else self._unknown(chr(-p - 2)))
+            j -= len(self.pieces[p]) if p >= 0 else 1
+        return np.array([x for ids in reversed(out) for x in ids], np.int32).tobytes()
+
+    def _learn_all(self, known: dict[str, bytes], new: set[str], blank: str) -> None:
         batch, size = [], 0
         for word in sorted(new):
+            if len(word) > LONG:
+                known[word] = self.learn_long(blank + word)
+                continue
             batch.append(word)
-            size += len(word) + 1
+            size += len(word) + 2
             if size >= INDEX_CHARS:
-                self.learn(batch)
+                known.update(zip(batch, self.learn([blank + w for w in batch]), strict=True))
                 batch, size = [], 0
         if batch:
-            self.learn(batch)
-        words, out = self.words, []
-        for chunks in cut:
-            ids: list[int] = []
-            for c in chunks:
-                ids += words[c]
-            out.append(np.array(ids, dtype=np.int32))
+            known.update(zip(batch, self.learn([blank + w for w in batch]), strict=True))
+
+    def cut(self, text: str) -> list[tuple[str | None, list[str]]]:
+        """Lines as (beginning without a blank in front, words with one); a null beginning at a text that starts with one."""
+        out = []
+        for k, line in enumerate(text.split("\n") if self.parts_lines else [text]):
+            if "  " in line or BLANK in line or line[:1] == " " or line[-1:] == " ":
+                # runs of blanks go with the word behind them
+                chunks = CHUNK.findall(("" if k else BLANK) + line.replace(" ", BLANK))
+                first = chunks.pop(0) if k and chunks and chunks[0][0] != BLANK else None
+                out.append((first, [c[1:] for c in chunks]))
+            else:
+                words = line.split(" ")
+                out.append((None, words) if not k else (words[0] or None, words[1:]))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.cut(t) if t else [] for t in texts]
+        for known in (self.words, self.starts):
+            if len(known) > MEMORY:
+                known.clear()
+        words: set[str] = set()
+        firsts: set[str] = set()
+        for lines in cut:
+            for first, ws in lines:
+                words.update(filterfalse(self.words.__contains__, ws))
+                if first and first not in self.starts:
+                    firsts.add(first)
+        self._learn_all(self.words, words, BLANK)
+        self._learn_all(self.starts, firsts, "")
+        get, starts, out = self.words.__getitem__, self.starts, []
+        for lines in cut:
+            ids: list[bytes] = []
+            for k, (first, ws) in enumerate(lines):
+                if k:
+                    ids.append(self.line_end)
+                if first:
+                    ids.append(starts[first])
+                ids.extend(map(get, ws))
+            out.append(np.frombuffer(b"".join(ids), dtype=np.int32))
         return out
 
-    def decode(self, ids) -> str:
-        raw, top = self.raw, len(self.raw)
-        text = b"".join([raw[i] for i in ids if 0 <= i < top]).decode("utf-8", "replace").replace(BLANK, " ")
+    def decode(self, ids: list[int]) -> str:
+        top = len(self.raw)
+        if ids and (min(ids) < 0 or max(ids) >= top):
+            ids = [i for i in ids if 0 <= i < top]
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -216,6 +321,7 @@ def decode(tokens: DataFrame, model: PieceModel, ids_col: str = "token_ids", tex
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared.value)
         for rows in batches:
-            yield pd.Series([None if ids is None else codec.decode([int(i) for i in ids if i == i and i is not None] if getattr(ids, "dtype", None) is None or ids.dtype.kind not in "iu" else ids.tolist()) for ids in rows], dtype=object)
+            # an array with a null in it does not come as one of integers
+            yield pd.Series([None if ids is None else codec.decode(ids.tolist() if ids.dtype.kind == "i" else [int(i) for i in ids if i is not None and i == i]) for ids in rows], dtype=object)
 
     return tokens.drop(text_col).withColumn(text_col, F.pandas_udf(decoded, T.StringType())(ids_col))
