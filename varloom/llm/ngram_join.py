@@ -27,6 +27,7 @@ from varloom.llm.shingles import mix, shingle_sets
 GROUPS = 32  # coordinates of a point
 TILE = 512  # points of a tile
 LEAF = 16  # points of a leaf inside a tile
+BROADCAST_ROWS = 300_000  # candidates, of under 100 bytes each, up to which they are broadcast
 _U = np.uint64
 
 
@@ -87,13 +88,14 @@ def set_identity(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
-PASS = "kind int, doc_id long, n long, h1 long, h2 long, g1 long, g2 long, bucket int, blob binary"
-DOC, EDGE, BLOB = 0, 1, 2
-EDGES = "h1 long, h2 long, g1 long, g2 long"
+PASS = "bucket int, blob binary"
+MET = "n long, doc_id long, h1 long, h2 long, g1 long, g2 long"
+#: Bucket numbers say what a blob holds: below the number of buckets group contents, from there on documents or edges.
+DOCS, EDGES = b"D", b"E"
 
 
 def _first_pass(k: int, percent: int, buckets: int):
-    """Rows of three kinds: a document's size and set name; star edges inside a batch; group contents for a bucket.
+    """Blobs for the buckets: group contents by value; documents' sizes and set names, and star edges, anywhere.
 
     Equal sets of a batch are one; of the sets of a batch with an equal group
     only the first goes on, the others are tied to it: what goes on does not
@@ -105,64 +107,72 @@ def _first_pass(k: int, percent: int, buckets: int):
         cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), k)
-            names = [set_identity(s) for s in sets]
-            docs = pd.DataFrame({"kind": DOC, "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [a for a, _ in names], "h2": [b for _, b in names]})
-            yield _shaped(docs)
-            distinct = {name: s for name, s in zip(names, sets, strict=True) if len(s)}
+            names = np.array([set_identity(s) for s in sets], np.int64).reshape(-1, 2)
+            known = batch["doc_id"].notna().to_numpy()
+            ids = batch["doc_id"].fillna(0).to_numpy().astype(np.int64)
+            docs = np.column_stack([np.array([len(s) for s in sets], np.int64), known.astype(np.int64), ids, names])
+            place = buckets + int(np.uint64(names.sum()) % np.uint64(buckets))
+            blobs = [(place, DOCS + docs.astype("<i8").tobytes())]
+            distinct = {name: s for name, s in zip(map(tuple, names.tolist()), sets, strict=True) if len(s)}
             own = np.array(list(distinct), np.int64).reshape(-1, 2)
             each = [levels.signatures(s) for s in distinct.values()]
             value = np.concatenate(each) if each else np.zeros(0, np.uint64)
             index = np.repeat(np.arange(len(each)), [len(v) for v in each])
             order = np.argsort(value, kind="stable")
             value, index = value[order], index[order]
-            new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
-            pivot = index[new][np.cumsum(new) - 1] if len(value) else index
-            tied = np.unique(np.stack([pivot[~new], index[~new]], 1), axis=0) if len(value) else np.zeros((0, 2), int)
-            tied = tied[tied[:, 0] != tied[:, 1]]
-            if len(tied):
-                a, b = own[tied[:, 0]], own[tied[:, 1]]
-                yield _shaped(pd.DataFrame({"kind": EDGE, "h1": a[:, 0], "h2": a[:, 1], "g1": b[:, 0], "g2": b[:, 1]}))
-            value, index = value[new], index[new]
+            if len(value):
+                new = np.concatenate([[True], value[1:] != value[:-1]])
+                pivot = index[new][np.cumsum(new) - 1]
+                tied = np.unique(np.stack([pivot[~new], index[~new]], 1), axis=0)
+                if len(tied):
+                    blobs.append((place, EDGES + np.hstack([own[tied[:, 0]], own[tied[:, 1]]]).astype("<i8").tobytes()))
+                value, index = value[new], index[new]
             at = np.concatenate([[0], np.searchsorted(value, cuts), [len(value)]])
-            blobs = []
             for j in range(buckets):
                 v, i = value[at[j] : at[j + 1]], index[at[j] : at[j + 1]]
                 if len(v):
                     used, local = np.unique(i, return_inverse=True)
                     blobs.append((j, len(used).to_bytes(4, "little") + own[used].astype("<i8").tobytes() + local.astype("<u2").tobytes() + v.astype("<u8").tobytes()))
-            if blobs:
-                yield _shaped(pd.DataFrame({"kind": BLOB, "bucket": [j for j, _ in blobs], "blob": [b for _, b in blobs]}))
+            yield pd.DataFrame(blobs, columns=["bucket", "blob"])
+
+    return run
+
+
+def _meet(buckets: int):
+    """Star edges between the sets of a bucket that share a group's content; documents and edges unpacked."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] >= buckets:
+            read = lambda kind, width: np.frombuffer(b"".join(b[1:] for b in rows["blob"] if b[:1] == kind), "<i8").reshape(-1, width)
+            docs, pairs = read(DOCS, 5), read(EDGES, 4)
+            one = pd.DataFrame({"n": docs[:, 0], "doc_id": docs[:, 2], "h1": docs[:, 3], "h2": docs[:, 4]}).astype("Int64")
+            one.loc[docs[:, 1] == 0, "doc_id"] = pd.NA
+            return pd.concat([_shaped(one), _shaped(pd.DataFrame(pairs, columns=["h1", "h2", "g1", "g2"]))], ignore_index=True)
+        names, owners, values, base = [], [], [], 0
+        for blob in rows["blob"]:
+            n = int.from_bytes(blob[:4], "little")
+            count = (len(blob) - 4 - 16 * n) // 10
+            names.append(np.frombuffer(blob, "<i8", 2 * n, 4).reshape(-1, 2))
+            owners.append(np.frombuffer(blob, "<u2", count, 4 + 16 * n).astype(np.int64) + base)
+            values.append(np.frombuffer(blob, "<u8", count, 4 + 16 * n + 2 * count))
+            base += n
+        name, owner, value = np.concatenate(names), np.concatenate(owners), np.concatenate(values)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        first = owner[new][np.cumsum(new) - 1]
+        pairs = np.concatenate([name[first[~new]], name[owner[~new]]], 1)
+        pairs = pairs[(pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] != pairs[:, 3])]
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 4)
+        return _shaped(pd.DataFrame(pairs, columns=["h1", "h2", "g1", "g2"]))
 
     return run
 
 
 def _shaped(df: pd.DataFrame) -> pd.DataFrame:
-    for c in ("doc_id", "n", "h1", "h2", "g1", "g2", "bucket"):
+    for c in (c.split()[0] for c in MET.split(", ")):
         df[c] = df[c].astype("Int64") if c in df else pd.array([None] * len(df), "Int64")
-    if "blob" not in df:
-        df["blob"] = None
-    return df[[c.split()[0] for c in PASS.split(", ")]]
-
-
-def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Star edges between the sets of a bucket that share a group's content."""
-    names, owners, values, base = [], [], [], 0
-    for blob in rows["blob"]:
-        n = int.from_bytes(blob[:4], "little")
-        count = (len(blob) - 4 - 16 * n) // 10
-        names.append(np.frombuffer(blob, "<i8", 2 * n, 4).reshape(-1, 2))
-        owners.append(np.frombuffer(blob, "<u2", count, 4 + 16 * n).astype(np.int64) + base)
-        values.append(np.frombuffer(blob, "<u8", count, 4 + 16 * n + 2 * count))
-        base += n
-    name, owner, value = np.concatenate(names), np.concatenate(owners), np.concatenate(values)
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    new = np.concatenate([[True], value[1:] != value[:-1]])
-    first = owner[new][np.cumsum(new) - 1]
-    pairs = np.concatenate([name[first[~new]], name[owner[~new]]], 1)
-    pairs = pairs[(pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] != pairs[:, 3])]
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 4)
-    return pd.DataFrame(pairs, columns=["h1", "h2", "g1", "g2"])
+    return df[[c.split()[0] for c in MET.split(", ")]]
 
 
 def _with_sets(k: int):
@@ -202,68 +212,110 @@ def _links(percent: int):
     return run
 
 
-TILES = "tile long, cluster long, cell long, nodes binary, labels binary, sizes binary, points binary, sets binary, high array<int>, least long"
+TILES = "tile long, cluster long, cell long, nodes binary, labels binary, sizes binary, points binary, sets binary, high array<int>, least long, pure long, a long, b long"
+
+
+class Tile:
+    """Points of a tile in leaf order, with their sets."""
 
+    def __init__(self, nodes, labels, sizes, points, sets):
+        self.nodes, self.labels, self.sizes, self.points, self.sets = nodes, labels, sizes, points, sets
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    """One tile: its points in leaf order, and the box and least size that bound them."""
-    points = np.array(group["point"].tolist(), np.int32)
-    order = np.lexsort((*points.T[:4], group["n"].to_numpy()))
-    group, points = group.iloc[order], points[order]
-    row = (
-        int(group["node"].min()), int(group["cluster"].iloc[0]), int(group["cell"].iloc[0]), group["node"].to_numpy().astype("<i8").tobytes(), group["label"].to_numpy().astype("<i8").tobytes(),
-        group["n"].to_numpy().astype("<i8").tobytes(), points.astype("<i4").tobytes(), b"".join(group["set"]), points.max(0).tolist(), int(group["n"].min()),
-    )
-    return pd.DataFrame([row], columns=[c.split()[0] for c in TILES.split(", ")])
+    @classmethod
+    def of(cls, group: pd.DataFrame) -> Tile:
+        points = np.array(group["point"].tolist(), np.int32).reshape(-1, GROUPS)
+        order = np.lexsort((*points.T[:4], group["n"].to_numpy()))
+        group = group.iloc[order]
+        return cls(group["node"].to_numpy(np.int64), group["label"].to_numpy(np.int64), group["n"].to_numpy(np.int64), points[order], [np.frombuffer(b, "<u8") for b in group["set"]])
 
+    @classmethod
+    def read(cls, nodes: bytes, labels: bytes, sizes: bytes, points: bytes, sets: bytes) -> Tile:
+        n = np.frombuffer(sizes, "<i8")
+        return cls(np.frombuffer(nodes, "<i8"), np.frombuffer(labels, "<i8"), n, np.frombuffer(points, "<i4").reshape(-1, GROUPS), np.split(np.frombuffer(sets, "<u8"), np.cumsum(n)[:-1]))
 
-def _tile_links(percent: int):
-    """Links between the sets of two tiles that no label joins yet, as a spanning forest."""
+    def row(self, cluster: int, cell: int) -> tuple:
+        return (
+            int(self.nodes.min()), cluster, cell, self.nodes.astype("<i8").tobytes(), self.labels.astype("<i8").tobytes(), self.sizes.astype("<i8").tobytes(),
+            self.points.astype("<i4").tobytes(), b"".join(s.tobytes() for s in self.sets), self.points.max(0).tolist(), int(self.sizes.min()), int(self.labels[0]) if (self.labels == self.labels[0]).all() else None, None, None,
+        )
+
+
+def _link(x: Tile, y: Tile, percent: int) -> list[tuple[int, int]]:
+    """Verified links between two tiles, or inside one, that no label joins yet: a spanning forest.
+
+    Boxes of leaves bound the overlap first, then points; what is left is
+    verified on the sets, and pairs that earlier links join are passed over.
+    """
+    same = x is y
+    names = dict.fromkeys([*x.labels.tolist(), *y.labels.tolist()])
+    if len(names) < 2:
+        return []
+    parent = {n: n for n in names}
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    need = lambda a, b: -(-(a + b) * percent // (100 + percent))
+    minima = lambda a, b: sum(np.minimum(a[:, None, k], b[None, :, k]) for k in range(GROUPS))
+    xs, ys = x.labels.tolist(), y.labels.tolist()
+    at, bt = np.arange(0, len(x.nodes), LEAF), np.arange(0, len(y.nodes), LEAF)
+    leaf = minima(np.maximum.reduceat(x.points, at), np.maximum.reduceat(y.points, bt)) >= need(np.minimum.reduceat(x.sizes, at)[:, None], np.minimum.reduceat(y.sizes, bt)[None, :])
+    edges = []
+    for la in np.nonzero(leaf.any(1))[0]:
+        columns = np.concatenate([np.arange(s, min(s + LEAF, len(y.nodes))) for s in bt[leaf[la]]])
+        rows = np.arange(at[la], min(at[la] + LEAF, len(x.nodes)))
+        near = minima(x.points[rows], y.points[columns]) >= need(x.sizes[rows][:, None], y.sizes[columns][None, :])
+        for i, ok in zip(rows.tolist(), near, strict=True):
+            js = columns[ok]
+            if same:
+                js = js[js > i]
+            mine = root(xs[i])
+            js = np.array([j for j in js.tolist() if root(ys[j]) != mine], int)
+            if not len(js):
+                continue
+            own = x.sets[i]
+            values = np.concatenate([y.sets[j] for j in js])
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            both = np.add.reduceat((own[place] == values).astype(np.int64), np.concatenate([[0], np.cumsum(y.sizes[js])[:-1]]))
+            for j in js[100 * both >= percent * (x.sizes[i] + y.sizes[js] - both)].tolist():
+                p, q = root(xs[i]), root(ys[j])
+                if p != q:
+                    parent[q] = p
+                    edges.append((int(x.nodes[i]), int(y.nodes[j])))
+    return edges
+
+
+def _inside(percent: int):
+    """Links inside one tile."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        tile = Tile.of(group)
+        return pd.DataFrame(_link(tile, tile, percent), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _pack(percent: int):
+    """One tile's row with the box and least size that bound it, and the links inside it as rows of a and b."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        tile = Tile.of(group)
+        rows = [tile.row(int(group["cluster"].iloc[0]), int(group["cell"].iloc[0])), *[(None,) * 11 + e for e in _link(tile, tile, percent)]]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")]).astype({c: "Int64" for c in ("tile", "cluster", "cell", "least", "pure", "a", "b")})
+
+    return run
+
+
+def _across(percent: int):
+    """Links between two tiles."""
 
     def run(pair: pd.DataFrame) -> pd.DataFrame:
         r = next(pair.itertuples(index=False))
-        same = r.tile == r.tile_b
-        read = lambda blob, kind: np.frombuffer(blob, kind)
-        nodes, others = read(r.nodes, "<i8"), read(r.nodes_b, "<i8")
-        sizes, other_sizes = read(r.sizes, "<i8"), read(r.sizes_b, "<i8")
-        p, q = read(r.points, "<i4").reshape(-1, GROUPS), read(r.points_b, "<i4").reshape(-1, GROUPS)
-        sets, other_sets = (np.split(read(b, "<u8"), np.cumsum(s)[:-1]) for b, s in ((r.sets, sizes), (r.sets_b, other_sizes)))
-        labels = np.concatenate([read(r.labels, "<i8"), read(r.labels_b, "<i8")])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        need = lambda a, b: -(-(a + b) * percent // (100 + percent))
-        minima = lambda a, b: sum(np.minimum(a[:, None, k], b[None, :, k]) for k in range(GROUPS))
-        at, bt = np.arange(0, len(nodes), LEAF), np.arange(0, len(others), LEAF)
-        leaf = minima(np.maximum.reduceat(p, at), np.maximum.reduceat(q, bt)) >= need(np.minimum.reduceat(sizes, at)[:, None], np.minimum.reduceat(other_sizes, bt)[None, :])
-        edges = []
-        for la in np.nonzero(leaf.any(1))[0]:
-            columns = np.concatenate([np.arange(s, min(s + LEAF, len(others))) for s in bt[leaf[la]]])
-            rows = np.arange(at[la], min(at[la] + LEAF, len(nodes)))
-            near = minima(p[rows], q[columns]) >= need(sizes[rows][:, None], other_sizes[columns][None, :])
-            for i, ok in zip(rows, near, strict=True):
-                js = columns[ok]
-                if same:
-                    js = js[js > i]
-                mine = root(int(labels[i]))
-                js = np.array([j for j in js if root(int(labels[len(nodes) + j])) != mine], int)
-                if not len(js):
-                    continue
-                own = sets[i]
-                values = np.concatenate([other_sets[j] for j in js])
-                place = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                both = np.add.reduceat((own[place] == values).astype(np.int64), np.concatenate([[0], np.cumsum(other_sizes[js])[:-1]]))
-                for j in js[100 * both >= percent * (sizes[i] + other_sizes[js] - both)]:
-                    x, y = root(int(labels[i])), root(int(labels[len(nodes) + j]))
-                    if x != y:
-                        parent[y] = x
-                        edges.append((int(nodes[i]), int(others[j])))
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+        x, y = Tile.read(r.nodes, r.labels, r.sizes, r.points, r.sets), Tile.read(r.nodes_b, r.labels_b, r.sizes_b, r.points_b, r.sets_b)
+        return pd.DataFrame(_link(x, y, percent), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -291,12 +343,12 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     letters = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about a million group contents to a bucket
     buckets = max(8, math.ceil(letters / 6 * 5 * (100 - percent) / (100 + percent) / 1e6))
-    rows = materialise(own.mapInPandas(_first_pass(k, percent, buckets), PASS), "ngram-pass")
-    found = rows.where(F.col("kind") == DOC).select("doc_id", "n", "h1", "h2")
+    rows = own.mapInPandas(_first_pass(k, percent, buckets), PASS).groupBy("bucket").applyInPandas(_meet(buckets), MET)
+    rows = materialise(rows, "ngram-pass")
+    found = rows.where("n is not null").select("doc_id", "n", "h1", "h2")
     reps = found.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
-    met = rows.where(F.col("kind") == BLOB).select("bucket", "blob").groupBy("bucket").applyInPandas(_meet, EDGES)
-    edges = rows.where(F.col("kind") == EDGE).select("h1", "h2", "g1", "g2").unionByName(met).distinct()
+    edges = rows.where("n is null").select("h1", "h2", "g1", "g2").distinct()
     end = lambda a, b, name: reps.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("node").alias(name))
     edges = edges.join(end("h1", "h2", "x"), ["h1", "h2"]).join(end("g1", "g2", "y"), ["g1", "g2"])
     edges = materialise(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-candidates")
@@ -310,32 +362,50 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
 
 
 def _verified(own: DataFrame, reps: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links a, b that span the components of all links."""
-    touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(touched, "node").select("node", "h1", "h2", F.col("rep").alias("__rep"))
+    """Verified links a, b that span the components of all links.
+
+    Sets that candidates connect are a cluster; all links lie inside clusters. A
+    cluster of at most TILE sets is one tile. In a larger one each set is first
+    verified with its smallest candidate; only where that leaves parts unjoined
+    are the sets tiled, those of the largest part apart from the others. Tiles
+    meet where their sizes and boxes allow a link and not all is one part.
+    """
+    cluster = connected_components(edges).withColumnRenamed("component", "cluster")
+    crowd = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
+    known = materialise(cluster.join(crowd, "cluster"), "ngram-clusters")
+    wanted = reps.join(known.select("node"), "node").select("node", "h1", "h2", F.col("rep").alias("__rep"))
+    if known.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("node", "h1", "h2", "text")
-    sets = texts.mapInPandas(_with_sets(k), "node long, n long, point array<int>, set binary")
-    sets = materialise(sets, "ngram-points").dropDuplicates(["node"])
+    sets = materialise(texts.mapInPandas(_with_sets(k), "node long, n long, point array<int>, set binary"), "ngram-points").dropDuplicates(["node"])
+    small = known.where(F.col("members") <= TILE).select("node", "cluster").join(sets, "node").withColumn("label", F.col("node"))
+    links = materialise(small.groupBy("cluster").applyInPandas(_inside(percent), "a long, b long"), "ngram-inside")
+    large = known.where(F.col("members") > TILE).select("node", "cluster")
+    if large.isEmpty():
+        return links
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"), F.col("set").alias("set_b"))
     bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    star = edges.join(a, "a").join(b, "b").where(bound >= needed(F.col("n_a") + F.col("n_b"), percent)).select("a", "b", "set_a", "set_b")
+    star = edges.join(large.select(F.col("node").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")).join(a, "a").join(b, "b").where(bound >= needed(F.col("n_a") + F.col("n_b"), percent)).select("a", "b", "set_a", "set_b")
     direct = materialise(star.mapInPandas(_links(percent), "a long, b long"), "ngram-direct")
     label = connected_components(direct).select("node", F.col("component").alias("label"))
-    cluster = connected_components(edges).select("node", F.col("component").alias("cluster"))
-    known = materialise(cluster.join(label, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "ngram-labels")
-    open_ = known.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cluster")
+    large = materialise(large.join(label, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "ngram-labels")
+    open_ = large.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cluster")
     # sizes in quarter steps of the ratio that linked sizes may have
     step = math.log(100 / percent) / 4
-    left = known.join(open_, "cluster").join(sets, "node").withColumn("cell", F.floor(F.log("n") / step))
-    cuts = left.groupBy("cluster", "cell").agg(F.expr(f"(count(*) + {TILE - 1}) div {TILE}").alias("cuts"))
-    left = left.join(cuts, ["cluster", "cell"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    tiles = materialise(left.select("cluster", "cell", "cut", "node", "label", "n", "point", "set").groupBy("cluster", "cell", "cut").applyInPandas(_pack, TILES), "ngram-tiles")
-    brief = tiles.select("tile", "cluster", "cell", "high", "least")
-    near = brief.select("cluster", F.explode(F.sequence(F.col("cell") - 5, F.col("cell") + 5)).alias("cell"), F.col("tile").alias("tile_b"), F.col("high").alias("high_b"), F.col("least").alias("least_b"))
+    left = large.join(open_, "cluster").join(sets, "node").withColumn("cell", F.floor(F.log("n") / step))
+    parts = left.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", "n").alias("largest"))
+    left = left.join(parts, "cluster").withColumn("minor", F.col("label") != F.col("largest"))
+    cuts = left.groupBy("cluster", "cell", "minor").agg(F.expr(f"(count(*) + {TILE - 1}) div {TILE}").alias("cuts"))
+    left = left.join(cuts, ["cluster", "cell", "minor"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    tiles = materialise(left.select("cluster", "cell", "minor", "cut", "node", "label", "n", "point", "set").groupBy("cluster", "cell", "minor", "cut").applyInPandas(_pack(percent), TILES), "ngram-tiles")
+    inside = tiles.where("a is not null").select("a", "b")
+    tiles = tiles.where("a is null")
+    brief = tiles.select("tile", "cluster", "cell", "high", "least", "pure")
+    near = brief.select("cluster", F.explode(F.sequence(F.col("cell") - 5, F.col("cell") + 5)).alias("cell"), F.col("tile").alias("tile_b"), F.col("high").alias("high_b"), F.col("least").alias("least_b"), F.col("pure").alias("pure_b"))
     bound = F.aggregate(F.zip_with("high", "high_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = brief.join(near, ["cluster", "cell"]).where("tile <= tile_b").where(bound >= needed(F.col("least") + F.col("least_b"), percent)).select("tile", "tile_b")
+    pairs = brief.join(near, ["cluster", "cell"]).where("tile < tile_b and coalesce(pure <> pure_b, true)").where(bound >= needed(F.col("least") + F.col("least_b"), percent)).select("tile", "tile_b")
     parts = ["nodes", "labels", "sizes", "points", "sets"]
     full = pairs.join(tiles.select("tile", *parts), "tile").join(tiles.select(F.col("tile").alias("tile_b"), *[F.col(c).alias(f"{c}_b") for c in parts]), "tile_b")
-    more = materialise(full.groupBy("tile", "tile_b").applyInPandas(_tile_links(percent), "a long, b long"), "ngram-more")
-    return direct.unionByName(more)
+    across = materialise(full.groupBy("tile", "tile_b").applyInPandas(_across(percent), "a long, b long"), "ngram-across")
+    return links.unionByName(direct).unionByName(inside).unionByName(across)
