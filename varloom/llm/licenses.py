@@ -103,13 +103,13 @@ LONGEST = 4 * max(len(s) for s in SENTENCES)
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; line ends, and . ! ? ; : before a blank or end, part them.
+    """Normalised sentences of a text, in order; line ends, and . ! ? before a blank or end, part them.
 
     A licence notice is often wrapped, so a line that begins in lower case, after
     an unfinished line, continues it.
     """
     joined = F.regexp_replace(text, r"(?<=[\w,])[ \t]*\r?\n[ \t*#/;-]*(?=[a-z(\"'])", " ")
-    parts = F.split(joined, r"[\r\n]+|[.!?;:]+(?=\s|\z)|[.!?;:]+[\"')\]]+(?=\s|\z)")
+    parts = F.split(joined, r"[\r\n]+|[.!?]+(?=\s|\z)|[.!?]+[\"')\]]+(?=\s|\z)")
     # clean only parts that can be a licence sentence
     parts = F.filter(parts, lambda x: (F.length(x) >= SHORTEST) & (F.length(x) <= LONGEST) & x.rlike(TRIGGER))
     clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9.]+", " "), r"(?<![0-9a-z])\.|\.(?![0-9a-z])", "")))
