@@ -314,6 +314,10 @@ def nearest_name(c: Column) -> Column:
 
 def preview_markdown(c: Column) -> Column:
     """Picture of a colour as an inline SVG, and its codes."""
+    return let(c, _preview)
+
+
+def _preview(c: Column) -> Column:
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="16" height="16">\n        <rect width="16" height="16" fill="'), c["hex"], F.lit('" stroke="#888" stroke-width="1"/>\n    </svg>'))
     code = F.regexp_replace(F.base64(F.encode(svg, "UTF-8")), r"[\r\n]", "")
     lines = F.concat(
