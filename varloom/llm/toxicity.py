@@ -54,12 +54,14 @@ def _code(letter: str) -> int:
 
 
 def count_trigrams(texts: Iterator[str]) -> np.ndarray:
-    """Trigram counts of the plain words of texts, edges of words included."""
+    """Trigram counts of the plain words of texts, edges of words included; drawn-out words teach nothing."""
     words: Counter[str] = Counter()
     for text in texts:
         words.update(w for w in text.lower().split() if w.isalpha())
     total = np.zeros(ALPHABET**3, np.int64)
     for word, n in words.items():
+        if REPEATED.search(word):
+            continue
         codes = [0, 0, *map(_code, word), 0]
         for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
             total[(a * ALPHABET + b) * ALPHABET + c] += n
@@ -181,9 +183,9 @@ class Model:
         self.counts, self.weights, self.coefficients = counts, weights, coefficients
 
     def restorer(self) -> Restorer:
-        """Each known word adds a thousandth of the corpus to the character model, so that disguises of it are found."""
+        """Known words add a twentieth of the corpus to the character model, none over a hundredth, so that disguises of them are found."""
         counts = self.counts.copy()
-        each = max(1, int(counts.sum()) // 1000)
+        each = max(1, int(counts.sum()) // max(100, 20 * len(self.weights)))
         for word in self.weights:
             if word[0] == "^":
                 continue
@@ -202,8 +204,7 @@ def features(words: set[str], weights: dict[str, float]) -> list[float]:
     return [1.0, math.log1p(len(hits)), min(sum(hits), 20.0) / 5, len(hits) / math.sqrt(1 + len(words))]
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
-    """Logistic regression by Newton steps."""
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -213,7 +214,20 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w.tolist()
+    return w
+
+
+def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
+    """Logistic regression by Newton steps; more evidence never lowers a score, so features of negative weight are left out."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, use], y, ridge)
+        if len(use) == 1 or w[1:].min() >= 0:
+            break
+        del use[1 + int(w[1:].argmin())]
+    out = np.zeros(x.shape[1])
+    out[use] = w
+    return out.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_words: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
