@@ -22,7 +22,7 @@ def _a(spark: SparkSession, sf_dir: str) -> Analyzer:
     return Analyzer(spark, CONFIG).load(corpus.files(spark, sf_dir))
 
 
-def _values(name: str, **columns):
+def _values(name: str, /, **columns):
     """A query that maps the varied values by columns."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def _values(name: str, **columns):
     return query
 
 
-def _colors(name: str, **columns):
+def _colors(name: str, /, **columns):
     """A query over the parsed colours of the varied values."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
