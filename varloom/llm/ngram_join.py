@@ -161,9 +161,11 @@ def _meet(buckets: int):
         value, owner = value[order], owner[order]
         new = np.concatenate([[True], value[1:] != value[:-1]])
         first = owner[new][np.cumsum(new) - 1]
-        pairs = np.concatenate([name[first[~new]], name[owner[~new]]], 1)
+        # owners are numbered, so a pair is one integer until it is known to be distinct
+        tied = np.unique(first[~new] * base + owner[~new])
+        pairs = np.concatenate([name[tied // base], name[tied % base]], 1)
         pairs = pairs[(pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] != pairs[:, 3])]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 4)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         return _shaped(pd.DataFrame(pairs, columns=["h1", "h2", "g1", "g2"]))
 
     return run

@@ -7,8 +7,8 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes hashed at once.
-WINDOW = 1 << 22
+#: Bytes hashed at once; about 60 bytes of memory each, which a worker keeps in part.
+WINDOW = 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
