@@ -27,3 +27,17 @@ def test_hints_still_drop_lists_of_articles():
 def test_text_of_math_object_and_noscript_stays():
     assert html_text("<body><article><p>a <math><mi>x</mi></math> b <object>c</object> <noscript>d</noscript></p></article>") == "a x b c d"
     assert html_text("<body><article><p>a</p><select><option>no<p>b</p><svg><text>no</text><p>c</p></article>") == "a\nb\nc"
+
+
+def test_each_page_design_of_a_host_has_its_template(spark):
+    from varloom.llm.html_extract import extract_main_text
+
+    rows = []
+    for k in range(24):
+        d = k % 4  # four designs, none on half of the pages
+        rows.append((k, "http://h.example/%d" % k, f"<html><body><div>Menu of design {d}</div><div><p>Story {k} begins and goes on.</p><p>And ends after {k * 7} words.</p></div><div>Call {d}</div></body></html>"))
+    copy = "<html><body><div><p>One copied story.</p><p>It has two paragraphs.</p></div><div>seen %d times</div></body></html>"
+    rows += [(100 + k, "http://h.example/c%d" % k, copy % k) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} begins and goes on.\nAnd ends after {k * 7} words." for k in range(24))
+    assert all(got[100 + k] == f"One copied story.\nIt has two paragraphs.\nseen {k} times" for k in range(3))
