@@ -41,3 +41,11 @@ def test_each_page_design_of_a_host_has_its_template(spark):
     got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"Story {k} begins and goes on.\nAnd ends after {k * 7} words." for k in range(24))
     assert all(got[100 + k] == f"One copied story.\nIt has two paragraphs.\nseen {k} times" for k in range(3))
+
+
+def test_short_boilerplate_lines_go_when_the_floor_is_one(spark):
+    from varloom.llm.line_dedup import line_dedup
+
+    rows = [(k, f"own {k}\nLes.\n\n", "en", f"s{k}", 0) for k in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup(d, min_chars=1).collect()} == {k: (f"own {k}\n\n", 1) if k else ("own 0\nLes.\n\n", 0) for k in range(12)}
