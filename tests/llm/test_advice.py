@@ -1,4 +1,4 @@
-"""Cases that the operators once left out; each failed before its fix."""
+"""Cases of the review: what the operators once left out, and what the fixes must not undo."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +49,22 @@ def test_short_boilerplate_lines_go_when_the_floor_is_one(spark):
     rows = [(k, f"own {k}\nLes.\n\n", "en", f"s{k}", 0) for k in range(12)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup(d, min_chars=1).collect()} == {k: (f"own {k}\n\n", 1) if k else ("own 0\nLes.\n\n", 0) for k in range(12)}
+
+
+def test_licenses_by_clauses_holders_and_expressions(spark):
+    from varloom.llm.licenses import scan_licenses
+
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of Example Org. Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    rows = {
+        apache: ["Apache-2.0"], apache.replace("you may ", "you may\n"): ["Apache-2.0"], bsd.replace("Org. Inc", "Org"): ["BSD-3-Clause"], lgpl: ["LGPL-2.1-or-later"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0": ["Apache-2.0", "GPL-2.0-or-later", "MIT"], "// SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": ["MPL-2.0"], "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "This module is distributed under the GNU Affero General Public License, version 3.": ["AGPL-3.0-only"], "The ISC License": ["ISC"], "SPDX-License-Identifier: EPL-2.0": ["EPL-2.0"], "Released under the Zlib License.": ["Zlib"],
+        "Licensed under the Example Private License.": [], "a license is a license": [],
+    }
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (list(r["licenses"]), list(r["unknown"])) for r in scan_licenses(d).collect()}
+    assert [got[k][0] for k in range(len(rows))] == list(rows.values())
+    assert [got[k][1] for k in (len(rows) - 2, len(rows) - 1)] == [["Licensed under the Example Private License"], []]
