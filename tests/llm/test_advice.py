@@ -68,3 +68,17 @@ def test_licenses_by_clauses_holders_and_expressions(spark):
     got = {r["doc_id"]: (list(r["licenses"]), list(r["unknown"])) for r in scan_licenses(d).collect()}
     assert [got[k][0] for k in range(len(rows))] == list(rows.values())
     assert [got[k][1] for k in (len(rows) - 2, len(rows) - 1)] == [["Licensed under the Example Private License"], []]
+
+
+def test_disguises_of_every_length_and_spacing_are_undone():
+    from varloom.llm.toxicity import CharModel, Restorer, count_trigrams, restored_words
+
+    known = {"snorkwit", "zug", "extraordinarilygrumblefex"}
+    plain = ["ka lo mi te su ran del kalo mite suran delka letter"] * 20 + ["snorkwit zug extraordinarilygrumblefex"] * 20
+    restorer = Restorer(CharModel(count_trigrams(plain)), known)
+    for text, word in [
+        ("sn" + "o" * 60 + "rkwit", "snorkwit"), ("ssnnoorrkkwwiitt", "snorkwit"), ("sn" + "0" * 60 + "rkw1t", "snorkwit"), ("ka z u g mi", "zug"), ("s  n\to\nr k  w i t", "snorkwit"),
+        (" ".join("extraordinarilygrumblefex"), "extraordinarilygrumblefex"), ("".join(a * 3 for a in "snorkwit") + "-" + "0" * 40 + "kalo" * 40, "snorkwit"), ("x1-" * 50 + "sn0rkwit" + "-1x" * 50, "snorkwit"),
+    ]:
+        assert word in restored_words(text, restorer), text
+    assert "letter" in restored_words("ka letter", restorer)

@@ -26,13 +26,16 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER = 27  # any other letter; 0 is the edge of a word
 ALPHABET = 28
 
-#: Four single characters in a row, with a blank between each: letters spaced out.
-SPACED_HINT = re.compile(r"\S \S \S \S(?!\S)")
-SPACED_RUN = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+#: Three single characters in a row, with any white space between them: letters spaced out.
+SPACED_HINT = re.compile(r"(?<!\S)\S\s++\S\s++\S(?!\S)")
+SPACED_RUN = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+DRAWN = re.compile(r"(.)\1{3,}", re.DOTALL)
 EDGES = ".,;:!?\"'()[]{}*#%&$@+-_=<>|/\\~^`"
 STARTS, ENDS = set("$@!|+(€£¡"), set("$€£|@")
-LONGEST = 32  # longer tokens are no disguised words
+LONGEST = 32  # longer tokens are decoded in windows that overlap by twice as much
+SHORTEST = 3  # letters of the shortest word that is learned
 
 CACHE = 300_000
 
@@ -71,8 +74,9 @@ def count_trigrams(texts: Iterator[str]) -> np.ndarray:
 class Restorer:
     """Viterbi decoding of one token's lattice under a character model; remembers tokens."""
 
-    def __init__(self, model: CharModel):
-        self.rows, self.known = model.rows, {}
+    def __init__(self, model: CharModel, words: set[str] = frozenset()):
+        self.rows, self.known, self.words = model.rows, {}, words
+        self.lengths = sorted({len(w) for w in words})
 
     def restore(self, token: str) -> str:
         found = self.known.get(token)
@@ -82,6 +86,10 @@ class Restorer:
             found = self.known[token] = self.decode(token)
         return found
 
+    def known_in(self, word: str, shortest: int = SHORTEST) -> set[str]:
+        """The known words, of every length they have, that stand anywhere in a word."""
+        return {word[i : i + n] for n in self.lengths if n >= shortest for i in range(len(word) - n + 1)} & self.words
+
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token.
 
@@ -120,12 +128,24 @@ class Restorer:
         return max(((score + rows[a][b][0], text) for (a, b), (score, text) in states.items()), default=(0, token))[1]
 
 
+def _restored(core: str, restorer: Restorer) -> set[str]:
+    """The likeliest reading of a token; for a long one also the known words in it, window by window."""
+    core = DRAWN.sub(r"\1\1\1", core)
+    if len(core) <= LONGEST:
+        return {restorer.restore(core)}
+    out = set()
+    for s in range(0, max(1, len(core) - 2 * LONGEST), 2 * LONGEST):
+        word = restorer.restore(core[s : s + 4 * LONGEST])
+        out |= restorer.known_in(word, SHORTEST + 1) | ({word} if len(core) <= 4 * LONGEST else set())
+    return out
+
+
 def restored_words(text: str, restorer: Restorer) -> set[str]:
     """The distinct lower-case words of a whole text with disguises of spelling undone.
 
     A token of letters alone has one path through its lattice and stays as it
-    is; only tokens with look-alikes, marks or drawn-out letters are decoded,
-    beside their plain form.
+    is; only tokens with look-alikes, marks or repeated letters are decoded,
+    beside their plain form, and runs of single characters as one word.
     """
     text = text.lower()
     tokens = set(text.split())
@@ -138,17 +158,21 @@ def restored_words(text: str, restorer: Restorer) -> set[str]:
             if not (token[0] in STARTS and token[1] == core[0] or tail[-1:] in ENDS and tail[-2:-1] == core[-1]):
                 continue
             core = tail if len(tail) - len(core) <= 2 else core
-        if 3 <= len(core) <= LONGEST and sum(map(str.isalpha, core)) >= 2:
-            out.add(restorer.restore(core))
-    if REPEATED.search(text):
-        for token in [t for t in out if REPEATED.search(t) and len(t) <= LONGEST]:
-            out.add(restorer.restore(token))
+        if len(core) >= 3 and sum(map(str.isalpha, core)) >= 2:
+            out |= _restored(core, restorer)
+    if DOUBLED.search(text):
+        for token in [t for t in out if DOUBLED.search(t)]:
+            out |= _restored(token, restorer)
     if SPACED_HINT.search(text):
         for run in SPACED_RUN.findall(text):
-            letters = run.replace(" ", "")
+            letters = "".join(run.split())
+            if len(letters) == SHORTEST and sum(map(str.isalpha, letters)) < 2:
+                continue
             for s in range(0, len(letters), LONGEST):  # a long run in windows that overlap
                 word = restorer.restore(letters[max(0, s - LONGEST) : s + LONGEST])
                 out.update(word[i:j] for i in range(len(word)) for j in range(i + 4, min(len(word), i + 14) + 1))
+                out |= restorer.known_in(word)
+            out |= _restored(letters, restorer)
     out.discard("")
     return out
 
@@ -192,7 +216,7 @@ class Model:
             codes = [0, 0, *map(_code, word), 0]
             for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
                 counts[(a * ALPHABET + b) * ALPHABET + c] += each // len(codes) + 1
-        return Restorer(CharModel(counts))
+        return Restorer(CharModel(counts), {w for w in self.weights if w[0] != "^"})
 
 
 def features(words: set[str], weights: dict[str, float]) -> list[float]:
