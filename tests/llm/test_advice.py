@@ -82,3 +82,17 @@ def test_disguises_of_every_length_and_spacing_are_undone():
     ]:
         assert word in restored_words(text, restorer), text
     assert "letter" in restored_words("ka letter", restorer)
+
+
+def test_warc_payloads_and_urls_that_end_in_a_version(spark, tmp_path):
+    from varloom.llm.warc import assemble, read_records, write_archives
+
+    rows = [(1, "http://a.example/WARC/1.1", "x"), (2, "http://b.example/", "text WARC/1.1"), (3, "c", "WARC/1.1\r"), (4, "WARC/1.1", "WARC/1.1")]
+    path = str(tmp_path / "warc")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r["metadata"]["page_id"]: (r["response"]["payload"], r["response"]["payload_bytes"], r["target_uri"]) for r in assemble(read_records(spark, path)).collect()}
+    assert got == {i: (h, len(h), u.replace("WARC/1.1", "WARC/1%2E1")) for i, u, h in rows}
+    cut = str(tmp_path / "cut")
+    spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 9\r\n\r\nshort\r\n",)], "value string").write.option("lineSep", "\r\n").text(cut)
+    with pytest.raises(Exception, match="cut at a wrong place"):
+        read_records(spark, cut).select("block").collect()

@@ -3,8 +3,9 @@
 Archives are UTF-8 text files of WARC 1.1 records, gzip-compressed by file, and
 are written and read by Spark's own text source, so they live in any store that
 Spark reaches. Records are cut at the version line; a payload that holds a
-version line itself is stored in base64 under a transfer-encoding header, so
-the cut is exact.
+version line itself, or makes one with the line end behind it, is stored in
+base64 under a transfer-encoding header, so the cut is exact. Each block is
+checked against its Content-Length when it is read.
 """
 
 from __future__ import annotations
@@ -55,11 +56,12 @@ def write_archives(pages: DataFrame, path: str, max_records_per_file: int = 30_0
     """Write each page's request, response or revisit, and metadata records below path.
 
     Captures get random record ids, so rows that repeat a page_id are captures
-    of their own. Header values have line ends percent-coded. A null url or
+    of their own. Header values have line ends percent-coded, and
+    the last dot of a url that ends in a version. A null url or
     page_id leaves its header out. An empty table writes no record.
     """
     captures = mark_revisits(payload_table(pages, **columns))
-    unsafe = F.contains("payload", F.lit(VERSION))
+    unsafe = F.contains("payload", F.lit(VERSION)) | F.endswith("payload", F.lit(VERSION.strip()))
     body = F.when(unsafe, F.base64(F.col("payload").cast("binary"))).otherwise(F.col("payload"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"), F.when(unsafe, F.lit("Content-Transfer-Encoding: base64\r\n")).otherwise(F.lit("")),
@@ -68,6 +70,7 @@ def write_archives(pages: DataFrame, path: str, max_records_per_file: int = 30_0
     block = F.when(F.col("record_type") == "revisit", http).otherwise(F.concat(http, body))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     url = F.when(F.trim(url) == url, url).otherwise(F.replace(url, F.lit(" "), F.lit("%20")))
+    url = F.regexp_replace(url, r"WARC/1\.1$", "WARC/1%2E1")
     target = _line("WARC-Target-URI", url)
     c = captures.withColumn("id", F.expr("uuid()"))
     main_id, request_id, metadata_id = (F.concat(F.lit(f"<urn:{kind}:"), F.col("id"), F.lit(">")) for kind in ("uuid", "request", "metadata"))
@@ -88,13 +91,19 @@ def write_archives(pages: DataFrame, path: str, max_records_per_file: int = 30_0
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """type, record_id, concurrent_to, target_uri, headers (text), block: one row for each record of the archives."""
+    """type, record_id, concurrent_to, target_uri, headers (text), block: one row for each record of the archives.
+
+    A block that is not as long as its Content-Length says raises an error.
+    """
     raw = spark.read.option("lineSep", VERSION).text(path).where(F.col("value") != "")
     cut = F.instr("value", "\r\n\r\n")
     head = F.concat(F.lit("\r\n"), F.substring("value", F.lit(1), cut + 1))
     # a record ends with two line ends after its block
     block = F.substring("value", cut + 4, F.length("value") - cut - 3 - 4)
     parsed = raw.select(head.alias("headers"), block.alias("block"))
+    length = header("Content-Length").cast("long")
+    wrong = F.raise_error(F.concat(F.lit("WARC record cut at a wrong place: "), F.coalesce(header("WARC-Record-ID"), F.lit("no id"))))
+    parsed = parsed.withColumn("block", F.when(F.octet_length("block") == length, F.col("block")).otherwise(wrong.cast("string")))
     return parsed.select(
         header("WARC-Type").alias("type"), header("WARC-Record-ID").alias("record_id"), header("WARC-Concurrent-To").alias("concurrent_to"),
         header("WARC-Target-URI").alias("target_uri"), header("Content-Length").cast("long").alias("content_length"), "headers", "block",
