@@ -35,10 +35,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of five-word Jaccard 0.8 or more; wordless ones all stay."""
-    groups = ngram_join(docs, k=5, percent=80)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").select(*COLUMNS)
+    """One document, that with the smallest id, of each group of five-word Jaccard 0.8 or more; wordless ones all stay.
+
+    Rows that repeat an id, or have none, are documents of their own: then each
+    row gets a key, and a null id counts as larger than any other. Of rows with
+    one id in a group that with the smallest hash of its columns stays.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        groups = ngram_join(docs, k=5, percent=80)
+        keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep"))
+        return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").select(*COLUMNS)
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_join(rows, k=5, percent=80, id_col="__row").select("__row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text", "lang", "source", "n_chars"), F.col("__row").alias("row"))
+    first = groups.join(rows.select("__row", order.alias("o")), "__row").groupBy("component_id").agg(F.min("o")["row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

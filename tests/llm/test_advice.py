@@ -96,3 +96,13 @@ def test_warc_payloads_and_urls_that_end_in_a_version(spark, tmp_path):
     spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 9\r\n\r\nshort\r\n",)], "value string").write.option("lineSep", "\r\n").text(cut)
     with pytest.raises(Exception, match="cut at a wrong place"):
         read_records(spark, cut).select("block").collect()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as p
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (0, b + " tail", "x"), (None, a, "x"), (None, "its own words stand here alone", "x"), (None, "its own words stand here alone", "x"), (5, "", "x"), (5, None, "x")]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_copies(spark, d, "").collect()), key=str)
+    assert got == sorted([(1, a), (0, b + " tail"), (None, "its own words stand here alone"), (5, ""), (5, None)], key=str)
