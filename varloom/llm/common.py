@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, single machine) a temporary folder is
-    made once and set on the session.
+    Where a session on one machine names none (tests) a temporary folder is made
+    once and set on the session; on a cluster that is an error, since executors
+    would write to folders that the others do not see.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="varloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -67,7 +73,16 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.table_path)
+        _written.remove(t.table_path)
 
 
 #: Bytes of an Arrow batch; several copies of it are held on both sides.
@@ -81,6 +96,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_state: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object] = lambda: None) -> object:
+    """What an operator keeps in a Python worker from task to task; a worker keeps one operator's at a time."""
+    if not _state or _state["key"] != key:
+        _state.clear()
+        trim()
+        _state.update(key=key, value=make())
+    return _state["value"]
+
+
+def trim() -> None:
+    """Give memory that Python and Arrow hold without need back to the system, where it can be done."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Edges that one task may join: sixteen bytes each.
 LOCAL_EDGES = 1_000_000
 
@@ -131,14 +168,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, local_edges: in
     for _ in range(max_rounds):
         n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n <= local_edges:
-            return materialise(e.repartition(1).mapInPandas(_join_locally, "node long, component long"), "cc")
+            done = materialise(e.repartition(1).mapInPandas(_join_locally, "node long, component long"), "cc")
+            discard(e)
+            return done
         if (n, total) == before:
             break
         before = (n, total)
         large = star(both(e)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         small = star(large)
-        e = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
+        last, e = e, materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

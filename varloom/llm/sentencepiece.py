@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm.common import small_batches
+from varloom.llm.common import small_batches, worker_state
 
 BLANK = "▁"
 #: Characters of a batch's distinct words that one suffix array indexes.
@@ -279,15 +279,9 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(model: PieceModel) -> Codec:
-    """One codec for each worker and model."""
-    key = hash((len(model.pieces), tuple(model.pieces[-100:]), tuple(model.scores[-100:])))
-    if key not in _codecs:
-        _codecs[key] = Codec(model)
-    return _codecs[key]
+    """The worker's codec of a model."""
+    return worker_state(("sentencepiece", hash((tuple(model.pieces), tuple(model.scores)))), lambda: Codec(model))
 
 
 def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm.common import materialise, small_batches
+from varloom.llm.common import materialise, small_batches, trim, worker_state
 
 #: Letters that a written character may stand for, besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -181,11 +181,13 @@ def _sum_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Trigram counts over every whole text; each task sends one fixed-size table."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("toxicity")
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
             total += count_trigrams(t for t in batch["t"] if t)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"k": at, "n": total[at]})
+        trim()
 
     # at most ALPHABET ** 3 rows come back, whatever the input
     rows = docs.select(F.col(text).alias("t")).mapInPandas(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
@@ -272,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_words: i
     joined = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(known, "i")
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("toxicity")
         restorer = Restorer(CharModel(restorer_counts.value))
         for batch in batches:
             out = []
@@ -323,10 +326,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed-size table and at most max_words words
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_state("toxicity")
         weights, w = shared.value.weights, shared.value.coefficients
         restorer = shared.value.restorer()
         for texts in batches:
             z = [sum(a * b for a, b in zip(features(restored_words(t or "", restorer), weights), w, strict=True)) for t in texts.where(texts.notna(), "")]
             yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z])
+        del restorer
+        trim()
 
     return docs.drop(score_col).withColumn(score_col, F.pandas_udf(scored, T.DoubleType())(text_col))
