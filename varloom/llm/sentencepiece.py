@@ -21,9 +21,11 @@ from varloom.llm.common import small_batches, worker_state
 
 BLANK = "▁"
 #: Characters of a batch's distinct words that one suffix array indexes.
-INDEX_CHARS = 200_000
+INDEX_CHARS = 100_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
+#: Characters of a batch that are cut into words at once; a longer text is taken alone.
+SLICE_CHARS = 2_000_000
 
 #: Letters from which a word is relaxed by itself.
 LONG = 64
@@ -246,6 +248,16 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out, part, size = [], [], 0
+        for text in texts:
+            if part and size + len(text) > SLICE_CHARS:
+                out += self._encode(part)
+                part, size = [], 0
+            part.append(text)
+            size += len(text)
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
         for known in (self.words, self.starts):
             if len(known) > MEMORY:
