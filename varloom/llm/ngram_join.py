@@ -32,6 +32,7 @@ LEAST_PERCENT = 60  # below it two linked sets may differ in more elements than
 COARSE = 32  # coordinates of a box, and the least of a point
 FINE = 8  # how much finer points are than what tells unrelated sets apart on average
 TILE = 2048  # points of a tile
+SMALL_TILE = 256  # points from which a crowd is cut into up to eight tiles, so that it goes to as many tasks
 TILE_BYTES = 2 << 20  # bytes of the points of a tile, but for one that alone has more
 LEAF = 16  # points of a leaf inside a tile
 WIDTH = 64  # partners of one set in a pair of tiles that are verified in the first round
@@ -502,7 +503,7 @@ def _near(cluster: DataFrame, points: DataFrame, components: DataFrame, percent:
         discard(state)
         return None
     left = materialise(left, "ngram-open")
-    tiled = lambda *keys: left.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("point")) / TILE_BYTES)).alias("cuts"))
+    tiled = lambda *keys: left.groupBy(*keys).agg(F.greatest(F.least(F.ceil(F.count("*") / min(SMALL_TILE, TILE)), F.greatest(F.lit(8), F.ceil(F.count("*") / TILE))), F.ceil(F.sum(F.octet_length("point")) / TILE_BYTES)).alias("cuts"))
     whole = tiled("cluster").where("cuts = 1").select("cluster", F.lit(True).alias("whole"))
     left = left.join(whole, "cluster", "left").join(tiled("cluster", "cell"), ["cluster", "cell"])
     cell = F.when(F.col("whole"), F.lit(-10)).otherwise(F.col("cell"))  # a cluster that fits is one tile
