@@ -183,9 +183,14 @@ HEX = r"^#(?:[0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})\z"
 COLOR_TYPE = "struct<format:string,r:int,g:int,b:int,a:double,original:string,hex:string>"
 
 
+def _codes() -> Column:
+    """Map of names to codes, as one constant."""
+    return F.str_to_map(F.lit(",".join(f"{n}:{c}" for n, c in NAMED.items())), F.lit(","), F.lit(":"))
+
+
 def is_color(value: Column) -> Column:
     """Whether a value, trimmed and lower-cased, is a named, hexadecimal or functional colour."""
-    return let(F.lower(js_trim(value)), lambda clean: clean.isin(*NAMED) | clean.rlike(HEX) | reduce(lambda a, b: a | b, [clean.rlike(p) for p in FUNCTIONAL.values()]))
+    return let(F.lower(js_trim(value)), lambda clean: F.map_contains_key(_codes(), clean) | clean.rlike(HEX) | reduce(lambda a, b: a | b, [clean.rlike(p) for p in FUNCTIONAL.values()]))
 
 
 def _byte(digits: Column) -> Column:
@@ -231,16 +236,16 @@ def _number(text: Column) -> Column:
 
 def parse_color(value: Column) -> Column:
     """Colour struct, or null. Names and hexadecimal forms are trimmed first; functional forms are not."""
-    return let(F.struct(value.alias("v"), F.lower(js_trim(value)).alias("clean")), lambda both: _parse(both["v"], both["clean"]))
+    both = let(F.struct(value.alias("v"), F.lower(js_trim(value)).alias("clean")), lambda x: F.struct(x["v"].alias("v"), x["clean"].alias("clean"), F.element_at(_codes(), x["clean"]).alias("code")))
+    return let(both, lambda x: _parse(x["v"], x["clean"], x["code"]))
 
 
-def _parse(value: Column, clean: Column) -> Column:
+def _parse(value: Column, clean: Column, name_code: Column) -> Column:
     one = F.lit(1.0)
 
     def color(form, r, g, b, a, code) -> Column:
         return F.struct(form.alias("format"), r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"), a.cast("double").alias("a"), value.alias("original"), code.alias("hex")).cast(COLOR_TYPE)
 
-    name_code = F.element_at(F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv]), clean)
     rgb = hex_to_rgb(name_code)
     clear = name_code == "transparent"
     named = color(F.lit("named"), rgb["r"], rgb["g"], rgb["b"], F.when(clear, F.lit(0.0)).otherwise(one), F.when(clear, "#00000000").otherwise(name_code))
@@ -252,7 +257,7 @@ def _parse(value: Column, clean: Column) -> Column:
     long6 = color(F.lit("hex"), pair(2), pair(4), pair(6), one, clean)
     long8 = color(F.lit("hex"), pair(2), pair(4), pair(6), alpha8, clean)
     out = (
-        F.when(clean.isin(*NAMED), named).when(clean.rlike(r"^#[0-9a-f]{3}\z"), short).when(clean.rlike(r"^#[0-9a-f]{4}\z"), short4)
+        F.when(name_code.isNotNull(), named).when(clean.rlike(r"^#[0-9a-f]{3}\z"), short).when(clean.rlike(r"^#[0-9a-f]{4}\z"), short4)
         .when(clean.rlike(r"^#[0-9a-f]{6}\z"), long6).when(clean.rlike(r"^#[0-9a-f]{8}\z"), long8)
     )
     for kind, pattern in FUNCTIONAL.items():

@@ -28,7 +28,8 @@ def resolve(index: DataFrame, names: DataFrame | None = None) -> DataFrame:
     for _ in range(MAX_DEPTH):
         seen = F.exists("links", lambda x: x["name"] == F.col("next"))
         walk = walk.withColumn("stop", F.when(F.col("stop").isNull() & seen, "cycle").otherwise(F.col("stop"))).withColumn("next", F.when(F.col("stop").isNull(), F.col("next")))
-        walk = walk.join(edges, F.col("next") == F.col("__n"), "left")
+        # a finished row gets a key of its own that no name has, so that these rows do not gather
+        walk = walk.withColumn("__key", F.coalesce("next", F.concat(F.lit("\0"), "name"))).join(edges, F.col("__key") == F.col("__n"), "left")
         hit = F.col("__n").isNotNull()
         walk = walk.withColumn("missing", F.when(F.col("stop").isNull() & ~hit, F.col("next")).otherwise(F.col("missing")))
         walk = walk.withColumn("links", F.when(hit, F.concat("links", F.array(F.struct(F.col("__n").alias("name"), F.col("__v").alias("value"))))).otherwise(F.col("links")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.config import HARDCODED, SIMILAR, SUGGESTIONS, UNDEFINED
-from varloom.functions.color import is_color, parse_color, rgb_distance
+from varloom.functions.color import is_color, parse_color
 from varloom.functions.text import WS, js_trim, line_text
 
 ORDER = ["pattern_ord", "c_path", "offset"]
@@ -18,21 +20,103 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise((longer - F.levenshtein(a, b)) / longer)
 
 
+def _without(names: DataFrame, text: str, keep: list[str], letters: int) -> DataFrame:
+    """keep, part: each text with up to this many of its characters left out, in every way."""
+
+    def less(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+
+    parts = F.when(F.length(text) > 0, less(F.col(text))).otherwise(F.array().cast("array<string>"))
+    if letters > 1:
+        parts = F.concat(parts, F.flatten(F.transform(F.filter(parts, lambda t: F.length(t) > 0), less)))
+    return names.select(*keep, F.explode(F.array_distinct(F.concat(F.array(F.col(text)), parts))).alias("part"))
+
+
+def _within(wanted: DataFrame, known: DataFrame, letters: int) -> DataFrame:
+    """Pairs of names at an edit distance of at most letters: both leave the same text when that many letters go."""
+    left = _without(wanted, "var_name", ["var_name", "n"], letters).withColumnRenamed("part", "p")
+    right = _without(known, "candidate", ["candidate"], letters)
+    met = left.join(right, F.col("p") == F.col("part")).select("var_name", "n", "candidate").distinct()
+    return met.withColumn("lev", F.expr(f"levenshtein(candidate, var_name, {letters})")).where("lev >= 0")
+
+
+def _best(pairs: DataFrame, limit: int) -> DataFrame:
+    """var_name, n, best: the most similar candidates of each name above one half, in order, as one row."""
+    longer = F.greatest("n", F.length("candidate"))
+    near = pairs.withColumn("similarity", (longer - F.col("lev")) / longer).where("similarity > 0.5")
+    rank = F.row_number().over(Window.partitionBy("var_name").orderBy(F.desc("similarity"), *ORDER))
+    item = F.struct("rank", "candidate", "similarity")
+    return near.withColumn("rank", rank).where(F.col("rank") <= limit).groupBy("var_name", "n").agg(F.array_sort(F.collect_list(item)).alias("best"))
+
+
 def similar_names(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> DataFrame:
     """var_name, rank, candidate, similarity: the most similar indexed names of each distinct name, above one half.
 
-    A similarity above one half needs the shorter length above half of the
-    longer, so names meet by equality on length; the edit distance is cut off
-    at the bound. Ties follow index order.
+    Names at a distance of one, then two, meet by equality on what both leave
+    when letters are left out. A name longer than d * (d + 1) with enough
+    candidates within distance d is done: all others are less similar. Only
+    what is left then meets by equality on length, dealt over sixteen shares of
+    the index, with the edit distance cut off at the bound. Ties follow index
+    order.
     """
-    wanted = names.select(F.col("name").alias("var_name")).distinct().withColumn("n", F.length("var_name"))
-    wanted = wanted.where("n > 0").withColumn("len", F.explode(F.expr("sequence(n div 2 + 1, greatest(2 * n - 1, n))")))
-    known = index.select(F.col("name").alias("candidate"), F.length("name").alias("len"), "pattern_ord", F.col("path").alias("c_path"), "offset")
-    longer = F.greatest("n", "len")
-    near = wanted.join(known, "len").withColumn("lev", F.expr("levenshtein(candidate, var_name, (greatest(n, len) - 1) div 2)")).where("lev >= 0")
-    near = near.withColumn("similarity", (longer - F.col("lev")) / longer).where("similarity > 0.5")
-    rank = F.row_number().over(Window.partitionBy("var_name").orderBy(F.desc("similarity"), *ORDER))
-    return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("var_name", "rank", "candidate", "similarity")
+    wanted = names.select(F.col("name").alias("var_name")).distinct().withColumn("n", F.length("var_name")).where("n > 0")
+    known = index.select(F.col("name").alias("candidate"), "pattern_ord", F.col("path").alias("c_path"), "offset")
+    found = []
+    for letters in (1, 2):
+        best = _best(_within(wanted, known.select("candidate"), letters).join(known, "candidate"), limit)
+        done = best.where((F.col("n") > letters * (letters + 1)) & (F.size("best") >= limit))
+        found.append(done)
+        wanted = wanted.join(done.select("var_name"), "var_name", "left_anti")
+    share = F.pmod(F.xxhash64("candidate"), F.lit(16))
+    lengths = F.explode(F.expr("sequence(n div 2 + 1, greatest(2 * n - 1, n))"))
+    asked = wanted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>"))).withColumn("len", lengths)
+    far = asked.join(known.withColumn("len", F.length("candidate")).withColumn("share", share), ["len", "share"])
+    far = far.withColumn("lev", F.expr("levenshtein(candidate, var_name, (greatest(n, len) - 1) div 2)")).where("lev >= 0")
+    found.append(_best(far, limit))
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select("var_name", F.explode("best").alias("b")).select("var_name", "b.rank", "b.candidate", "b.similarity")
+
+
+CUBE = ["r", "g", "b"]
+#: Widths of the cells of the colour cube in which enough variables are looked for, from near to far.
+WIDTHS = (2, 4, 8, 16, 32, 64)
+FAR = 200  # from this distance on no score is above 10
+
+
+def _cells(df: DataFrame, width: Column, around: bool = False) -> DataFrame:
+    """Adds r_cell, g_cell and b_cell of each colour; around gives a row for each neighbouring cell too."""
+    for c in CUBE:
+        cell = F.floor(F.col(c) / width)
+        df = df.withColumn(f"{c}_cell", F.explode(F.array(cell - 1, cell, cell + 1)) if around else cell)
+    return df
+
+
+def _nearest(asked: DataFrame, colors: DataFrame, order: list, limit: int) -> DataFrame:
+    """r, g, b and hits: the limit nearest variables of each asked colour, closer than FAR, in order.
+
+    Where a cell of some width around an asked colour holds enough variables,
+    none of the nearest is farther than the cell's diagonal: colours meet by
+    equality on cells as wide as the least such diagonal and their neighbours,
+    else on cells as wide as FAR.
+    """
+    cell = [f"{c}_cell" for c in CUBE]
+    widths = F.explode(F.array(*[F.lit(w) for w in WIDTHS])).alias("width")
+    crowd = _cells(colors.select(*CUBE, widths), F.col("width")).groupBy("width", *cell).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+    enough = _cells(asked.select(*CUBE, widths), F.col("width")).join(crowd, ["width", *cell], "left").groupBy(*CUBE).agg(F.min(F.when(F.col("n").isNotNull(), F.col("width"))).alias("width"))
+    reach = {w: math.ceil(w * math.sqrt(3)) for w in WIDTHS}
+    far = F.lit(FAR)
+    for w, r in reach.items():
+        far = F.when(F.col("width") == w, r).otherwise(far)
+    around = _cells(enough.withColumn("reach", far).drop("width"), F.col("reach"), around=True)
+    every = F.explode(F.array(*[F.lit(r) for r in (*reach.values(), FAR)])).alias("reach")
+    known = _cells(colors.select("*", every), F.col("reach"))
+    for c in CUBE:
+        known = known.withColumnRenamed(c, f"{c}_k")
+    square = sum(((F.col(c) - F.col(f"{c}_k")) * (F.col(c) - F.col(f"{c}_k")) for c in CUBE), F.lit(0))
+    met = around.join(known, ["reach", *cell]).withColumn("square", square).where((F.col("square") <= F.col("reach") * F.col("reach")) & (F.col("square") < FAR * FAR))
+    rank = F.row_number().over(Window.partitionBy(*CUBE).orderBy("square", *order))
+    item = F.struct("rank", "square", "candidate", "key", "use_count", *ORDER)
+    return met.withColumn("rank", rank).where(F.col("rank") <= limit).groupBy(*CUBE).agg(F.array_sort(F.collect_list(item)).alias("hits"))
 
 
 def variables_for_values(values: DataFrame, index: DataFrame, resolved: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
@@ -40,20 +124,22 @@ def variables_for_values(values: DataFrame, index: DataFrame, resolved: DataFram
 
     100 for the same text as the resolved value without regard to case; for two
     colours 50 less a fifth of their distance, if above 10. The exact branch is
-    an equi-join; the colour branch compares distinct colours only, each with
-    its first variables.
+    an equi-join. In the colour branch distinct colours of both sides meet, each
+    with its first variables: limit for each text, twice that for each colour,
+    since only the variables of the value's own text are left out later.
     """
     known = index.join(resolved.select("name", F.coalesce(F.nullif("resolved_value", F.lit("")), F.col("value")).alias("text")), "name").where("text <> ''")
     known = known.select(F.col("name").alias("candidate"), "text", F.lower(js_trim(F.col("text"))).alias("key"), "is_color", "use_count", "pattern_ord", F.col("path").alias("c_path"), "offset")
     wanted = values.select("value").distinct().where("value is not null").withColumn("key", F.lower(js_trim(F.col("value"))))
     order = [F.desc("use_count"), *ORDER]
-    top = lambda df, *keys: df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= limit).drop("__r")
-    exact = wanted.join(top(known, "key"), "key").select("value", "candidate", F.lit(100.0).alias("score"), "use_count", *ORDER)
-    colors = known.where("is_color").withColumn("c", parse_color(F.col("text"))).where("c is not null")
-    colors = top(colors.withColumn("r", F.col("c.r")).withColumn("g", F.col("c.g")).withColumn("b", F.col("c.b")), "key", "r", "g", "b")
-    asked = wanted.where(is_color(F.col("value"))).withColumn("q", parse_color(F.col("value"))).where("q is not null")
-    near = asked.select("value", "q", F.col("key").alias("k")).join(colors, F.abs(F.col("q.r") - F.col("r")) < 200).where("key <> k")
-    near = near.withColumn("score", F.greatest(F.lit(0.0), 50 - rgb_distance(F.col("q"), F.col("c")) / 5)).where("score > 10").select("value", "candidate", "score", "use_count", *ORDER)
+    top = lambda df, n, *keys: df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+    exact = wanted.join(top(known, limit, "key"), "key").select("value", "candidate", F.lit(100.0).alias("score"), "use_count", *ORDER)
+    shades = lambda df, text, *keep: df.withColumn("c", parse_color(F.col(text))).where("c is not null").select(*keep, *[F.col(f"c.{x}").alias(x) for x in CUBE])
+    colors = shades(known.where("is_color"), "text", "candidate", "key", "use_count", *ORDER)
+    colors = top(top(colors, limit, "key", *CUBE), 2 * limit, *CUBE)
+    asked = shades(wanted.where(is_color(F.col("value"))), "value", "value", "key")
+    near = asked.join(_nearest(asked.select(*CUBE).distinct(), colors, order, 2 * limit), CUBE).select("value", F.col("key").alias("own"), F.explode("hits").alias("h")).select("value", "own", "h.*").where("key <> own")
+    near = near.withColumn("score", F.greatest(F.lit(0.0), 50 - F.sqrt(F.col("square").cast("double")) / 5)).where("score > 10").select("value", "candidate", "score", "use_count", *ORDER)
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), *order))
     return exact.unionByName(near).withColumn("rank", rank).where(F.col("rank") <= limit).select("value", "rank", "candidate", "score")
 
