@@ -106,12 +106,12 @@ def test_inline_styles(spark, source, found):
 def test_editor_queries(spark):
     f = files(spark, variables__css=VARIABLES, a__css=".x{\n color: var(--brand);\n color: \n background: var(--br\n}")
     a = Analyzer(spark).load(f)
-    cursors = spark.createDataFrame([(1, "/ws/a.css", 1, 14), (2, "/ws/a.css", 2, 8), (3, "/ws/a.css", 3, 21), (4, "/ws/a.css", 0, 1)], "cursor_id int, path string, line int, col int")
+    cursors = spark.createDataFrame([(1, "/ws/a.css", 1, 14), (2, "/ws/a.css", 2, 8), (3, "/ws/a.css", 3, 21), (4, "/ws/a.css", 0, 1), (5, "/ws/a.css", 1, 18)], "cursor_id int, path string, line int, col int")
     at = {r["cursor_id"]: (r["name"], r["start_col"], r["end_col"]) for r in editor.variable_at_cursor(editor.cursor_lines(cursors, f)).collect()}
-    assert at == {1: ("--brand", 12, 19)}
+    assert at == {1: ("--brand", 12, 19), 5: ("--brand", 12, 19)}
     done = {(r["cursor_id"], r["rank"]): (r["mode"], r["label"]) for r in a.completions(cursors).collect()}
     assert done[2, 1] == ("call", "var(--brand)") and done[3, 1] == ("name", "--brand") and not any(k[0] == 4 for k in done)
-    assert {r["cursor_id"]: r["target_path"] for r in a.goto_definition(cursors).collect()} == {1: "/ws/variables.css", 3: "/ws/variables.css"}
+    assert {r["cursor_id"]: r["target_path"] for r in a.goto_definition(cursors).collect()} == {1: "/ws/variables.css", 3: None, 5: "/ws/variables.css"}  # --br is not defined
     assert "#3498db" in {r["cursor_id"]: r["markdown"] for r in a.hover(cursors).collect()}[1]
 
 
@@ -141,3 +141,75 @@ def test_registry_matches_its_sql():
     from varloom.plans import registry
 
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_stored_findings(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    one = lambda text, name="a": Analyzer(spark).load(files(spark, **{f"{name}__css": text}))
+    texts = {f"d{k}": f".x{{color: var(--m{k})}}" for k in range(80)}  # more documents than buckets
+    every = Analyzer(spark).load(files(spark, **{f"{k}__css": t for k, t in texts.items()}))
+    stored = lambda t: sorted((r["path"], r["var_name"]) for r in t.collect())
+    all_of = sorted((f"/ws/{k}.css", f"--m{k[1:]}") for k in texts)
+    assert stored(every.write_diagnostics(path)) == all_of
+    assert stored(one(".x{color: inherit}", "d3").write_diagnostics(path)) == [r for r in all_of if r[0] != "/ws/d3.css"]
+    again = stored(one(".x{color: var(--new)}", "d3").write_diagnostics(path))
+    assert again == sorted([r for r in all_of if r[0] != "/ws/d3.css"] + [("/ws/d3.css", "--new")])
+
+
+def test_actions_by_language(spark):
+    a = Analyzer(spark).load(files(spark, variables__css=VARIABLES, a__sass=SHEET, b__scss=SHEET))
+    assert {r["path"] for r in a.diagnostics.collect()} == {"/ws/a.sass", "/ws/b.scss"}
+    assert {r["path"] for r in a.code_actions.collect()} == {"/ws/b.scss"}
+
+
+def test_similar_names_by_brute_force(spark):
+    import random
+
+    from varloom.operators.suggest import similar_names
+
+    rng = random.Random(5)
+    word = lambda: "--" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+    known, asked = sorted({word() for _ in range(120)}), sorted({word() for _ in range(60)} | {"--zzzzzzzz", "--"})
+    index = spark.createDataFrame([(n, 0, "/p", k) for k, n in enumerate(known)], "name string, pattern_ord int, path string, offset int")
+    got = {}
+    for r in similar_names(spark.createDataFrame([(n,) for n in asked * 2], "name string"), index).collect():
+        got.setdefault(r["var_name"], []).append((r["rank"], r["candidate"], round(r["similarity"], 9)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    for n in asked:
+        scored = [(-(max(len(n), len(c)) - distance(n, c)) / max(len(n), len(c)), k, c) for k, c in enumerate(known)]
+        want = [(i + 1, c, round(-s, 9)) for i, (s, _, c) in enumerate(sorted(x for x in scored if x[0] < -0.5)[:3])]
+        assert sorted(got.get(n, [])) == want
+
+
+def test_variables_for_values_by_brute_force(spark):
+    import math
+    import random
+
+    from varloom.operators.suggest import variables_for_values
+
+    rng = random.Random(6)
+    shade = lambda: f"#{rng.choice((10, 200, 250)) + rng.randint(0, 5):02x}{rng.randint(0, 255):02x}{rng.choice((0, 128)):02x}"
+    known = [(f"--v{k}", rng.choice(["#FF0000", "red", "#f00", shade(), "4px", shade()])) for k in range(150)]
+    asked = ["red", "#ff0000", "#FF0000", "4PX", "#00ff00", *[shade() for _ in range(40)]]
+    index = spark.createDataFrame([(n, v, v != "4px", 0, 0, "/p", k) for k, (n, v) in enumerate(known)], "name string, value string, is_color boolean, use_count long, pattern_ord int, path string, offset int")
+    resolved = spark.createDataFrame([(n, v, v) for n, v in known], "name string, value string, resolved_value string")
+    got = {}
+    for r in variables_for_values(spark.createDataFrame([(v,) for v in asked], "value string"), index, resolved).collect():
+        got.setdefault(r["value"], []).append((r["rank"], r["candidate"], round(r["score"], 6)))
+    rgb = lambda v: {"red": (255, 0, 0), "#f00": (255, 0, 0)}.get(v) or (tuple(int(v[i : i + 2], 16) for i in (1, 3, 5)) if len(v) == 7 else None)
+    for v in asked:
+        scored = []
+        for k, (n, t) in enumerate(known):
+            if t.lower() == v.lower():
+                scored.append((-100.0, k, n))
+            elif rgb(t.lower()) and rgb(v.lower()) and (s := 50 - math.dist(rgb(t.lower()), rgb(v.lower())) / 5) > 10:
+                scored.append((-s, k, n))
+        assert sorted(got.get(v, [])) == [(i + 1, n, round(-s, 6)) for i, (s, _, n) in enumerate(sorted(scored)[:3])]

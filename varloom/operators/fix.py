@@ -37,7 +37,7 @@ def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     return joined.withColumn("out", F.aggregate(placed, start, step)).select("path", F.col("out.text").alias("text"), F.col("out.n").alias("n_fixes"))
 
 
-def fixed_files(files: DataFrame, actions: DataFrame) -> DataFrame:
-    """All documents, with fixes applied where there are any."""
-    done = apply_actions(files, actions).select("path", F.col("text").alias("__text"))
+def fixed_files(files: DataFrame, applied: DataFrame) -> DataFrame:
+    """All documents, with the texts of apply_actions where there are any."""
+    done = applied.select("path", F.col("text").alias("__text"))
     return files.join(done, "path", "left").withColumn("text", F.coalesce("__text", "text")).drop("__text")

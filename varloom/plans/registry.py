@@ -12,6 +12,7 @@ from varloom.operators import editor, fix, index, parse, report, suggest
 from varloom.plans import corpus
 from varloom.plans.analyzer import Analyzer
 from varloom.plans.oracle import SQL as ORACLE_SQL
+from varloom.sources.files import distinct_paths as distinct_files
 from varloom.streaming import changes
 
 CONFIG = AnalyzerConfig()
@@ -200,8 +201,7 @@ def autofix_text(spark, sf_dir):
 
 def autofix_summary(spark, sf_dir):
     a = _a(spark, sf_dir)
-    done = fix.apply_actions(a.files, a.code_actions)
-    return done.agg(F.sum("n_fixes").alias("fixes"), F.count("*").alias("files")).join(a.autofix().project_report)
+    return a.applied.agg(F.sum("n_fixes").alias("fixes"), F.count("*").alias("files")).join(a.autofix().project_report)
 
 
 def glob_filter(spark, sf_dir):
@@ -242,6 +242,38 @@ def change_replay_index(spark, sf_dir):
     return changes.replay(corpus.changes(spark, sf_dir)).select("name", "value", "path")
 
 
+def change_incremental_index(spark, sf_dir):
+    """The feed in two batches, each applied to the definitions that the one before left."""
+    feed = corpus.changes(spark, sf_dir)
+    half = feed.agg(F.percentile_approx("seq", 0.5).alias("__half"))
+    part = lambda later: feed.join(half, (F.col("seq") > F.col("__half")) if later else (F.col("seq") <= F.col("__half"))).drop("__half")
+    before = changes.apply_batch(spark.createDataFrame([], changes.SCHEMA), part(False))
+    return index.variable_index(changes.apply_batch(before, part(True))).select("name", "value", "path")
+
+
+def parse_errors(spark, sf_dir):
+    """Every seventh style sheet without its text."""
+    files = corpus.files(spark, sf_dir).withColumn("text", F.when(~F.col("path").endswith("7.css"), F.col("text")))
+    return Analyzer(spark, CONFIG).load(files).parse_errors
+
+
+def color_info(spark, sf_dir):
+    return _a(spark, sf_dir).color_info.select("name", "color.format", "color.r", "color.g", "color.b", F.round("color.a", 6).alias("a"), "color.hex")
+
+
+def distinct_paths(spark, sf_dir):
+    """A scan whose globs list the style sheets twice."""
+    files = corpus.files(spark, sf_dir)
+    again = files.where(F.col("path").endswith(".css")).withColumn("pattern_ord", F.lit(1))
+    return distinct_files(files.unionByName(again)).select("path", "lang", "pattern_ord", F.length("text").alias("n_chars"))
+
+
+def variable_index_all_files(spark, sf_dir):
+    """The index over all style sheets, not those of variables alone."""
+    a = Analyzer(spark, AnalyzerConfig(scan_all_files=True)).load(corpus.files(spark, sf_dir))
+    return a.variables.select("name", "value", "path", "line", "col", "is_color")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -249,6 +281,7 @@ QUERIES = {
         inline_expressions, inline_objects, diagnostics, file_report, project_report, report_lines, report_quick_list, resolved_variables, alias_chains, resolution_stop_reason, resolution_descriptions,
         similar_names_top3, suggest_for_value_top3, completions, completion_details, hover_similar_top3, hover, hover_missing, goto_definition, variable_at_cursor, property_at_cursor,
         code_actions, autofix_text, autofix_summary, glob_filter, offset_to_position, position_to_offset, line_text, search_by_name, search_by_keywords, variables_by_usage, variables_quick_list, change_replay_index,
+        change_incremental_index, parse_errors, color_info, distinct_paths, variable_index_all_files,
     )
 }
 
@@ -261,7 +294,7 @@ def _column_queries() -> dict:
         "value_kind": lambda: _values("value_kind", kind=values.value_kind(F.col("value"))),
         "normalize_value": lambda: _values("normalize_value", normalized=values.normalize_value(F.col("value"))),
         "clean_value": lambda: _values("clean_value", cleaned=values.clean_value(F.col("value"))),
-        "split_compound": lambda: _values("split_compound", parts=values.split_compound(F.col("value"))),
+        "split_compound": lambda: _values("split_compound", parts=F.array_join(values.split_compound(F.col("value")), "|")),
         "property_gate": lambda: _values("property_gate", checked=values.property_checked(F.col("property"), CONFIG)),
         "allowed_value": lambda: _values("allowed_value", allowed=values.is_allowed(F.col("value"), CONFIG)),
         "property_class": lambda: _values("property_class", **{"class": values.property_class(F.col("property"))}),

@@ -13,10 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from varloom.operators.index import variable_index
 from varloom.operators.parse import definitions
+from varloom.sources.buckets import BUCKETS, BucketTable, bucket_of
 from varloom.sources.files import files_from_table
 
-BUCKETS = 64
-SCHEMA = "path string, pattern_ord int, name string, value string, line int, col int, offset int, is_color boolean, bucket int"
+SCHEMA = "path string, pattern_ord int, name string, value string, line int, col int, offset int, is_color boolean"
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -38,24 +38,21 @@ def apply_batch(current: DataFrame, changes: DataFrame) -> DataFrame:
     has_reset = changes.where(F.col("op") == "reset").limit(1).select(F.lit(True).alias("__all"))
     kept = current.join(last.select("path"), "path", "left_anti").join(has_reset, F.lit(True), "left").where("__all is null").drop("__all")
     new = definitions(files_from_table(last.where(F.col("op") == "upsert").select("path", "text")))
-    return kept.unionByName(new.withColumn("bucket", F.pmod(F.hash("path"), F.lit(BUCKETS))))
+    return kept.unionByName(new)
 
 
 class DefinitionStream:
-    """Keeps a definitions table, partitioned by a hash of the path, in step with a feed.
+    """Keeps a definitions table, by buckets of the path, in step with a feed.
 
-    A batch rewrites only the buckets of the paths it names; a reset rewrites
+    A batch replaces only the buckets of the paths it names; a reset replaces
     all. Batches are idempotent, so one that is tried again leaves the same table.
     """
 
     def __init__(self, spark: SparkSession, table: str, checkpoint: str):
-        self.spark, self.table, self.checkpoint = spark, table, checkpoint
+        self.table, self.checkpoint = BucketTable(spark, table, SCHEMA), checkpoint
 
     def current(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.table)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.table).where("name is not null")
+        return self.table.read()
 
     def index(self) -> DataFrame:
         return variable_index(self.current())
@@ -63,16 +60,12 @@ class DefinitionStream:
     def _batch(self, changes: DataFrame, _: int) -> None:
         changes = changes.persist()
         try:
-            touched = [r[0] for r in changes.select(F.pmod(F.hash("path"), F.lit(BUCKETS)).alias("b")).distinct().collect()]  # at most BUCKETS
-            reset = not changes.where(F.col("op") == "reset").isEmpty()
-            if reset:  # nothing of the table stays, so it is not read
-                after = apply_batch(self.spark.createDataFrame([], SCHEMA), changes)
-                after.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self.table)
-            else:
-                after = apply_batch(self.current().where(F.col("bucket").isin(touched)), changes)
-                # an empty row keeps a bucket's partition, so that its last definition can go
-                marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in SCHEMA.split(", ")[:-1]], "bucket")
-                after.unionByName(marks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.table)
+            if not changes.where(F.col("op") == "reset").isEmpty():
+                self.table.replace(apply_batch(self.table.read([]), changes), list(range(BUCKETS)))
+                return
+            touched = [r[0] for r in changes.where("path is not null").select(bucket_of(F.col("path")).alias("b")).distinct().collect()]  # at most BUCKETS
+            if touched:
+                self.table.replace(apply_batch(self.table.read(touched), changes), touched)
         finally:
             changes.unpersist()
 
