@@ -22,17 +22,29 @@ def usable(vector: Column) -> Column:
 
 
 def fit_pca(vectors: DataFrame, sample_rows: int) -> np.ndarray:
-    """Rotation, columns by falling variance, from at most sample_rows vectors; identity where there are too few.
+    """Rotation, columns by falling variance, from about sample_rows vectors at most; identity where there are too few.
 
-    Any rotation gives right results; the sample only decides how early pairs stop.
+    The vectors are those of the commonest length with the smallest hashes, so a
+    random sample. Eight tasks at most send a table of length x length products
+    each. Any rotation gives right results; the sample only decides how early
+    pairs stop.
     """
-    taken = [r[0] for r in vectors.select("embedding").limit(sample_rows).collect()]
-    size = max((len(v) for v in taken), default=1)
-    rows = np.array([v for v in taken if len(v) == size], dtype=np.float64)
-    if len(rows) < 2:
-        return np.eye(size)
-    rows /= np.linalg.norm(rows / np.abs(rows).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(rows).max(1, keepdims=True)
-    values, axes = np.linalg.eigh(rows.T @ rows)
+    common = vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if common is None or common["n"] < 2:
+        return np.eye(common["dim"] if common else 1)
+    size, share = common["dim"], min(1.0, sample_rows / common["n"])
+    sample = vectors.where((F.col("dim") == size) & (F.pmod(F.xxhash64(F.lit("pca"), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("embedding")
+
+    def products(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            if len(batch):
+                unit = _unit(np.array(batch["embedding"].tolist(), dtype=np.float64))
+                total += unit.T @ unit
+        yield pd.DataFrame({"p": [total.tobytes()]})
+
+    total = sum(np.frombuffer(r[0]).reshape(size, size) for r in sample.coalesce(8).mapInPandas(products, "p binary").collect())
+    values, axes = np.linalg.eigh(total)
     return axes[:, np.argsort(-values)]
 
 
@@ -190,19 +202,21 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample_rows: in
 
 
 def _tiles(reps: DataFrame, rotation: np.ndarray, rows_per_group: int) -> DataFrame:
-    """Groups of bounded size along the first axis inside a label, each packed in tiles.
+    """Groups of at most about rows_per_group vectors along the first axis inside a label, each packed in tiles.
 
-    A group is sixteen neighbouring cells of the axis; a cell with more vectors
-    than half of rows_per_group is a group by itself, cut by a hash.
+    A group is sixteen neighbouring cells of the axis. Where these together hold
+    more, each cell is a group by itself, cut by a hash where it alone holds more.
     """
     axis = rotation[:, 0].tolist()
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
     along = total(F.zip_with("embedding", F.array(*[F.lit(x) for x in axis]), lambda a, b: a * b)) / F.sqrt(total(F.transform("embedding", lambda x: x * x)))
     along = F.when((F.col("dim") == len(axis)) & (F.abs(along) <= 2), along).otherwise(F.lit(0.0))
-    crowd = reps.withColumn("cell", F.floor(along / 0.05))
-    sizes = crowd.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("cuts", F.expr(f"greatest(1, n div {rows_per_group // 2})")).drop("n")
-    crowd = crowd.join(sizes, ["label", "dim", "cell"]).withColumn("group", F.when(F.col("cuts") > 1, F.col("cell")).otherwise(F.floor(F.col("cell") / 16) - 1000))
-    crowd = crowd.withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    crowd = reps.withColumn("cell", F.floor(along / 0.05)).withColumn("block", F.floor(F.col("cell") / 16))
+    cells = crowd.groupBy("label", "dim", "block", "cell").agg(F.count("*").alias("n"))
+    blocks = cells.groupBy("label", "dim", "block").agg((F.sum("n") > rows_per_group).alias("parted"))
+    cells = cells.join(blocks, ["label", "dim", "block"]).select("label", "dim", "cell", "parted", F.expr(f"greatest(1, (n + {rows_per_group - 1}) div {rows_per_group})").alias("cuts"))
+    crowd = crowd.join(cells, ["label", "dim", "cell"]).withColumn("group", F.when(F.col("parted"), F.col("cell")).otherwise(F.col("block") - 1000))
+    crowd = crowd.withColumn("cut", F.when(F.col("parted"), F.pmod(F.xxhash64("rep"), F.col("cuts"))).otherwise(F.lit(0)))
     return crowd.groupBy("label", "dim", "group", "cut").applyInPandas(_pack(rotation), TILES)
 
 
