@@ -20,6 +20,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Log probabilities of the channel: a letter written as itself, as a look-alike, repeated, or with a mark put after it.
 SAME, ALIKE, REPEAT, MARK = math.log(0.96), math.log(0.02), math.log(0.02), math.log(0.01)
 LOST = math.log(0.0005)  # a look-alike that stands for nothing
+PART = math.log(0.2)  # a word ends inside a spaced run
 PREFIX = 5  # letters of a word's beginning that are judged like a word of their own
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -34,7 +35,7 @@ DOUBLED = re.compile(r"([^\W\d_])\1")
 DRAWN = re.compile(r"(.)\1{3,}", re.DOTALL)
 EDGES = ".,;:!?\"'()[]{}*#%&$@+-_=<>|/\\~^`"
 STARTS, ENDS = set("$@!|+(€£¡"), set("$€£|@")
-LONGEST = 32  # longer tokens are decoded in windows that overlap by twice as much
+LONGEST = 32  # longer tokens are no word, and known words are looked for in them
 SHORTEST = 3  # letters of the shortest word that is learned
 
 CACHE = 300_000
@@ -90,54 +91,63 @@ class Restorer:
         """The known words, of every length they have, that stand anywhere in a word."""
         return {word[i : i + n] for n in self.lengths if n >= shortest for i in range(len(word) - n + 1)} & self.words
 
-    def decode(self, token: str) -> str:
-        """The likeliest letters behind a token.
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest letters behind a token; in a spaced run words are parted where that is likelier.
 
         States are the last two letters. A written letter is itself, a repeat of
         the letter before, or noise when it is a mark; a look-alike may also be
-        one of its letters; a look-alike at the end of a token may be nothing.
+        one of its letters, or nothing. Paths are kept as links to the letter
+        before, so memory grows with the token alone.
         """
+        return self.search(token, spaced)[1]
+
+    def search(self, token: str, spaced: bool = False) -> tuple[float, str]:
+        """Log probability and letters of the best path through the whole lattice; no path is cut off."""
         rows = self.rows
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for ch in token:
             letters = ch if ch.isalpha() else ""
             also = LEET.get(ch, "")
             drop = None if letters else LOST if also else MARK
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            read = [(letters, SAME)] * bool(letters) + [(x, ALIKE) for x in also]
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 if drop is not None:
                     old = nxt.get((a, b))
                     if old is None or old[0] < score + drop:
-                        nxt[a, b] = (score + drop, text)
+                        nxt[a, b] = (score + drop, path)
                 row = rows[a][b]
-                for x, cost in [(letters, SAME)] * bool(letters) + [(x, ALIKE) for x in also]:
+                for x, cost in read:
                     k = _code(x)
                     got = score + cost + row[k]
                     old = nxt.get((b, k))
                     if old is None or old[0] < got:
-                        nxt[b, k] = (got, text + x)
-                    if text and text[-1] == x:  # the same letter drawn out
+                        nxt[b, k] = (got, (path, x))
+                    if path and path[1] == x:  # the same letter drawn out
                         got = score + REPEAT + (cost if x != ch else 0.0)
                         old = nxt.get((a, b))
                         if old is None or old[0] < got:
-                            nxt[a, b] = (got, text)
-            # keep the best few paths; a token has few letters in doubt
-            if len(nxt) > 48:
-                nxt = dict(sorted(nxt.items(), key=lambda s: -s[1][0])[:48])
+                            nxt[a, b] = (got, path)
+            if spaced:  # a word may end behind any letter
+                ends = [(score + rows[a][b][0] + PART, path) for (a, b), (score, path) in nxt.items() if b]
+                if ends:
+                    score, path = max(ends, key=lambda e: e[0])
+                    old = nxt.get((0, 0))
+                    if old is None or old[0] < score:
+                        nxt[0, 0] = (score, (path, " "))
             states = nxt
-        return max(((score + rows[a][b][0], text) for (a, b), (score, text) in states.items()), default=(0, token))[1]
+        best, path = max(((score + (rows[a][b][0] if b or not spaced else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda e: e[0], default=(0.0, None))
+        text = []
+        while path:
+            path, x = path
+            text.append(x)
+        return best, "".join(reversed(text))
 
 
 def _restored(core: str, restorer: Restorer) -> set[str]:
-    """The likeliest reading of a token; for a long one also the known words in it, window by window."""
-    core = DRAWN.sub(r"\1\1\1", core)
-    if len(core) <= LONGEST:
-        return {restorer.restore(core)}
-    out = set()
-    for s in range(0, max(1, len(core) - 2 * LONGEST), 2 * LONGEST):
-        word = restorer.restore(core[s : s + 4 * LONGEST])
-        out |= restorer.known_in(word, SHORTEST + 1) | ({word} if len(core) <= 4 * LONGEST else set())
-    return out
+    """The likeliest reading of a whole token; for one longer than any word also the known words in it."""
+    word = restorer.restore(DRAWN.sub(r"\1\1\1", core))
+    return {word} if len(core) <= LONGEST else {word} | restorer.known_in(word, SHORTEST + 1)
 
 
 def restored_words(text: str, restorer: Restorer) -> set[str]:
@@ -145,33 +155,37 @@ def restored_words(text: str, restorer: Restorer) -> set[str]:
 
     A token of letters alone has one path through its lattice and stays as it
     is; only tokens with look-alikes, marks or repeated letters are decoded,
-    beside their plain form, and runs of single characters as one word.
+    beside their plain form, and runs of single characters as words without
+    blanks between them. A look-alike right in front of a token or behind it may
+    be its letter.
     """
     text = text.lower()
     tokens = set(text.split())
     out = {t for t in tokens if t.isalpha()}
     for token in tokens - out:
         core = token.strip(EDGES)
+        if not core:
+            continue
+        i = len(token) - len(token.lstrip(EDGES))
+        j = i + len(core)
+        wide = (token[i - 1] if i and token[i - 1] in STARTS else "") + core + (token[j] if j < len(token) and token[j] in ENDS else "")
         if core.isalpha():
             out.add(core)
-            tail = token.rstrip(".,;:!?")
-            if not (token[0] in STARTS and token[1] == core[0] or tail[-1:] in ENDS and tail[-2:-1] == core[-1]):
+            if wide == core:
                 continue
-            core = tail if len(tail) - len(core) <= 2 else core
-        if len(core) >= 3 and sum(map(str.isalpha, core)) >= 2:
-            out |= _restored(core, restorer)
+        if len(wide) >= 3 and sum(map(str.isalpha, wide)) >= 2:
+            out |= _restored(wide, restorer)
     if DOUBLED.search(text):
         for token in [t for t in out if DOUBLED.search(t)]:
             out |= _restored(token, restorer)
     if SPACED_HINT.search(text):
         for run in SPACED_RUN.findall(text):
             letters = "".join(run.split())
-            if len(letters) == SHORTEST and sum(map(str.isalpha, letters)) < 2:
+            if sum(map(str.isalpha, letters)) < 2:
                 continue
-            for s in range(0, len(letters), LONGEST):  # a long run in windows that overlap
-                word = restorer.restore(letters[max(0, s - LONGEST) : s + LONGEST])
-                out.update(word[i:j] for i in range(len(word)) for j in range(i + 4, min(len(word), i + 14) + 1))
-                out |= restorer.known_in(word)
+            parted = restorer.decode(letters, spaced=True).split()
+            out.update(w for w in parted if len(w) >= SHORTEST)
+            out |= restorer.known_in("".join(parted))
             out |= _restored(letters, restorer)
     out.discard("")
     return out
@@ -256,7 +270,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float
     return out.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_words: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Character counts over all documents; word weights and the regression from at most about fit_rows labelled rows.
 
     Rows held out (:func:`held_out`) are never learned from. Of labelled texts
@@ -298,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_words: i
     tried = max(2, seen.count())
     q = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-12))
     surprise = F.col("n") * (q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate)))
-    chosen = seen.where((q > rate) & (F.length("w") >= 3)).withColumn("s", surprise).where(F.col("s") > math.log(tried)).orderBy(F.desc("s"), "w").limit(max_words).collect()
+    chosen = seen.where((q > rate) & (F.length("w") >= 3)).withColumn("s", surprise).where(F.col("s") > math.log(tried)).collect()  # surprising words of at most about fit_rows texts
     weights = {r["w"]: math.log((r["pos"] + 0.5) / (pos + 1)) - math.log((r["n"] - r["pos"] + 0.5) / (n - pos + 1)) for r in chosen}
     weights = {w: x for w, x in weights.items() if x > 1}
 
@@ -323,7 +337,7 @@ def hash_text(text: str) -> int:
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The input's rows and columns plus a score of 0 to 1 for the whole text; a null text scores as an empty one."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed-size table and at most max_words words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed-size table and the chosen words
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         worker_state("toxicity")
