@@ -1,13 +1,15 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-For models of the BPE kind with byte fallback whose normaliser changes nothing
-but blanks. All pieces' occurrences in a batch come from one suffix array; the
-edges, sorted by position, are relaxed to the one segmentation that BPE makes.
+For models of the unigram or BPE kind with byte fallback whose normaliser
+changes nothing but blanks; others are refused. All pieces' occurrences in a
+batch's words come from one suffix array; the edges, sorted by position, are
+relaxed to the best sum of scores, or to the one segmentation that BPE makes.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from itertools import filterfalse
 
@@ -35,21 +37,82 @@ CODES, NONE = 1 << 22, -(1 << 40)
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+#: Fixed values of the model format: piece types, model types, and the penalty of a character without a piece.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
+UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY = 10.0
+
+
 class PieceModel:
     """Pieces and scores of a model file; small, and sent to workers whole."""
 
-    def __init__(self, pieces: list[str], scores: list[float], bytes_: dict[int, int], skipped: set[int]):
-        self.pieces, self.scores, self.bytes, self.skipped = pieces, scores, bytes_, skipped
+    def __init__(self, pieces: list[str], scores: list[float], bytes_: dict[int, int], skipped: set[int], kind: int = BPE):
+        self.pieces, self.scores, self.bytes, self.skipped, self.kind = pieces, scores, bytes_, skipped, kind
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
-        import sentencepiece
+        """Read a model file; ValueError for one whose texts would be cut otherwise than here."""
+        with open(path, "rb") as f:
+            return cls.parse(f.read())
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = m.get_piece_size()
-        coded = {i: int(m.id_to_piece(i)[3:5], 16) for i in range(n) if m.is_byte(i)}
-        skipped = {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)} | coded.keys()
-        return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], coded, skipped)
+    @classmethod
+    def parse(cls, data: bytes) -> PieceModel:
+        pieces, scores, types = [], [], []
+        trainer, normalizer = {}, {}
+        for field, value in _fields(data):
+            if field == 1:
+                one = dict(_fields(value))
+                pieces.append(one.get(1, b"").decode())
+                scores.append(struct.unpack("<f", one[2])[0] if 2 in one else 0.0)
+                types.append(one.get(3, NORMAL))
+            elif field == 2:
+                trainer = dict(_fields(value))
+            elif field == 3:
+                normalizer = dict(_fields(value))
+        kind = trainer.get(3, UNIGRAM)
+        wrong = {
+            "its type is neither BPE nor unigram": kind not in (BPE, UNIGRAM),
+            "it has no byte fallback": not trainer.get(35, 0) or types.count(BYTE) != 256,
+            "blanks end its pieces": bool(trainer.get(24, 0)),
+            "its normaliser changes characters": bool(normalizer.get(2, b"")),
+            "it puts no blank in front": not normalizer.get(3, 1),
+            "it removes blanks": bool(normalizer.get(4, 1)),
+            "it does not write blanks as U+2581": not normalizer.get(5, 1),
+            "it has symbols of its user": USER_DEFINED in types,
+            "pieces go on after a blank": any(BLANK in p.lstrip(BLANK) for p, t in zip(pieces, types, strict=True) if t == NORMAL),
+        }
+        for what, is_so in wrong.items():
+            if is_so:
+                raise ValueError(f"model not supported: {what}")
+        coded = {i: int(pieces[i][3:5], 16) for i, t in enumerate(types) if t == BYTE}
+        skipped = {i for i, t in enumerate(types) if t in (UNKNOWN, CONTROL, UNUSED)} | coded.keys()
+        return cls(pieces, scores, coded, skipped, kind)
 
 
 class Codec:
@@ -57,9 +120,8 @@ class Codec:
 
     def __init__(self, model: PieceModel):
         self.ids = {p: i for i, p in enumerate(model.pieces) if i not in model.skipped}
-        if any(BLANK in p.lstrip(BLANK) for p in self.ids):
-            raise ValueError("pieces that go on after a blank are not supported")
-        self.pieces, self.scores = model.pieces, model.scores
+        self.pieces, self.scores, self.sums = model.pieces, model.scores, model.kind == UNIGRAM
+        self.unknown = min((model.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.width = max(map(len, self.ids))
         self.separator = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in p for p in self.ids))
         self.byte_ids = {b: i for i, b in model.bytes.items()}
@@ -219,19 +281,53 @@ class Codec:
             j -= len(self.pieces[p]) if p >= 0 else 1
         return np.array([x for ids in reversed(out) for x in ids], np.int32).tobytes()
 
+    def learn_sums(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the best sum of scores; of equal sums that whose last piece is longest.
+
+        The library adds up whole texts in single precision, so among equal sums
+        it may choose otherwise.
+        """
+        scores, unknown = self.scores, self.unknown
+        start, end, piece = self.edges(self.separator.join(words))
+        begin, at, out = 0, 0, []
+        start, end, piece = start.tolist(), end.tolist(), piece.tolist()
+        for word in words:
+            best: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # sum, start and piece of the edge that ends here
+            for j in range(1, len(word) + 1):
+                found, single = None, False
+                while at < len(end) and end[at] <= begin + j:
+                    i = start[at] - begin
+                    if end[at] == begin + j and i >= 0:
+                        single |= i == j - 1
+                        score = best[i][0] + scores[piece[at]]
+                        if found is None or score > found[0]:
+                            found = score, i, piece[at]
+                    at += 1
+                if not single and (found is None or best[j - 1][0] + unknown > found[0]):
+                    found = best[j - 1][0] + unknown, j - 1, -2
+                best.append(found)
+            ids, j = [], len(word)
+            while j:
+                _, i, p = best[j]
+                ids.append([p] if p >= 0 else self._unknown(word[i]))
+                j = i
+            out.append(np.array([x for part in reversed(ids) for x in part], np.int32).tobytes())
+            begin += len(word) + 1
+        return out
+
     def _learn_all(self, known: dict[str, bytes], new: set[str], blank: str) -> None:
-        batch, size = [], 0
+        batch, size, learn = [], 0, self.learn_sums if self.sums else self.learn
         for word in sorted(new):
-            if len(word) > LONG:
+            if len(word) > LONG and not self.sums:
                 known[word] = self.learn_long(blank + word)
                 continue
             batch.append(word)
             size += len(word) + 2
             if size >= INDEX_CHARS:
-                known.update(zip(batch, self.learn([blank + w for w in batch]), strict=True))
+                known.update(zip(batch, learn([blank + w for w in batch]), strict=True))
                 batch, size = [], 0
         if batch:
-            known.update(zip(batch, self.learn([blank + w for w in batch]), strict=True))
+            known.update(zip(batch, learn([blank + w for w in batch]), strict=True))
 
     def cut(self, text: str) -> list[tuple[str | None, list[str]]]:
         """Lines as (beginning without a blank in front, words with one); a null beginning at a text that starts with one."""
