@@ -80,50 +80,33 @@ def _locate(points: DataFrame, intervals: DataFrame, top: int) -> DataFrame:
 
 
 def _slots(spark, plan: DataFrame, seed: int, shard_slots: int) -> DataFrame:
-    """source, n_blocks, k: the slots of the mix, numbered within their source from 0 to owed - 1."""
+    """shard, source, n_blocks, k: the slots of the mix, numbered within their source from 0 to owed - 1."""
     from varloom.llm.common import materialise
 
     n_slots = plan.agg(F.sum("owed")).first()[0] or 0
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     owed = plan.select("source", "n_blocks", "owed").withColumn("hi", F.sum("owed").over(by_source)).withColumn("lo", F.col("hi") - F.col("owed"))
-    drawn = spark.range(n_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), "id", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "id"), F.lit(max(1, n_slots))).alias("x"))
+    drawn = spark.range(n_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), "id", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), F.expr(f"id div {shard_slots}"), F.expr(f"id % {shard_slots}")), F.lit(max(1, n_slots))).alias("x"))
     drawn = _locate(drawn, owed.select("source", "lo", "hi"), n_slots).select("source", "shard", "id")
     counts = drawn.groupBy("source", "shard").agg(F.count("*").alias("n"))
     counts = _offsets(counts, "source", "shard", "n")
     counts = counts.select(F.col("source").alias("s"), F.col("shard").alias("h"), "base")
     within = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "shard").orderBy("id")) - 1)
-    numbered = within.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).select("source", (F.col("base") + F.col("r")).alias("k"))
+    numbered = within.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).select("shard", "source", (F.col("base") + F.col("r")).alias("k"))
     got = numbered.groupBy("source").agg(F.count("*").alias("got")).withColumnRenamed("source", "s")
     books = plan.join(got, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n_blocks", "owed", F.coalesce("got", F.lit(0)).alias("got"))
     books = books.withColumn("over", F.greatest(F.lit(0), F.expr("got - owed"))).withColumn("under", F.greatest(F.lit(0), F.expr("owed - got")))
     books = materialise(books.withColumn("over_lo", F.sum("over").over(by_source) - F.col("over")).withColumn("hi", F.sum("under").over(by_source)).withColumn("lo", F.col("hi") - F.col("under")), "mix-books")
     b = books.select(F.col("source").alias("s"), "n_blocks", "owed", "over_lo")
     known = numbered.join(b, F.col("source").eqNullSafe(F.col("s")))
-    own = known.where("k < owed").select("source", "n_blocks", "k")
-    passed = known.where("k >= owed").select((F.col("over_lo") + F.col("k") - F.col("owed")).alias("x"))
-    passed = _locate(passed, books.select("source", "n_blocks", "got", "lo", "hi"), n_slots).select("source", "n_blocks", (F.expr("got + x - lo")).alias("k"))
+    own = known.where("k < owed").select("shard", "source", "n_blocks", "k")
+    passed = known.where("k >= owed").select("shard", (F.col("over_lo") + F.col("k") - F.col("owed")).alias("x"))
+    passed = _locate(passed, books.select("source", "n_blocks", "got", "lo", "hi"), n_slots).select("shard", "source", "n_blocks", (F.expr("got + x - lo")).alias("k"))
     return own.unionByName(passed)
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 256, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, taken.
-
-    The words of a source, in an order fixed by a hash of the document, form a
-    stream cut into blocks of block_words (shorter for a source of under 64
-    blocks, so that every source is cut finely). The mix is a list of slots in
-    output shards of shard_slots. Each shard draws multinomial counts of its
-    sources from a seeded generator; draws beyond what a source owes pass to
-    sources that are owed slots, so totals meet the targets. The k-th slot of a
-    source takes, in its pass k div n, the block that a pseudorandom permutation
-    of the n block numbers gives for k mod n. Slots join blocks by number, and
-    a document is taken in proportion to its share of the blocks used. No block
-    is used more than three times.
-
-    Null text has size 0; null sources are one source, ordered last. Documents
-    of size 0 are taken 0 times. Rows that repeat an id are separate documents.
-    Extra columns are ignored; an empty table gives an empty result. The same
-    rows give the same result for any partitioning.
-    """
+def _mix(docs: DataFrame, seed: int, block_words: int, shard_slots: int, rows_per_bucket: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents at their places in their sources' streams, the plan of each source, and the slots with their blocks i."""
     from varloom.llm.common import materialise
 
     spark = docs.sparkSession
@@ -141,14 +124,37 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 256, shard_s
     placed = spread.withColumn("upto", F.sum("size").over(inside)).alias("p").join(base.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bucket") == F.col("b.bucket")))
     placed = placed.select("p.doc_id", "p.source", "p.size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     plan = (
-        targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr("source_size div 64"))))
+        targets.withColumn("block", F.lit(block_words))
         .withColumn("n_blocks", F.expr("(source_size + block - 1) div block"))
         .withColumn("owed", F.when(F.col("n_blocks") > 0, F.least(CAP * F.col("n_blocks"), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"))).otherwise(F.lit(0)).cast("long"))
     )
     plan = materialise(plan, "mix-plan")
     slots = _slots(spark, plan, seed, shard_slots)
     n = F.col("n_blocks")
-    used = slots.withColumn("i", _permuted(F.expr("k % n_blocks"), n, F.lit(seed), F.coalesce("source", F.lit("\0")), F.expr("k div n_blocks"))).groupBy("source", "i").agg(F.count("*").alias("times"))
+    return placed, plan, slots.withColumn("i", _permuted(F.expr("k % n_blocks"), n, F.lit(seed), F.coalesce("source", F.lit("\0")), F.expr("k div n_blocks")))
+
+
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 64, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each document: id, source, size, source_size, target, taken.
+
+    The words of a source, in an order fixed by a hash of the document, form a
+    stream cut into blocks of block_words. The mix is a list of slots in output
+    shards of shard_slots. Each shard draws the sources of its slots from a
+    generator seeded by the shard: the counts of its sources are multinomial,
+    and number its slots within each source; draws beyond what a source owes pass to
+    sources that are owed slots, so totals meet the targets. The k-th slot of a
+    source takes, in its pass k div n, the block that a pseudorandom permutation
+    of the n block numbers gives for k mod n. Slots join blocks by number, and
+    a document is taken in proportion to its share of the blocks used. No block
+    is used more than three times.
+
+    Null text has size 0; null sources are one source, ordered last. Documents
+    of size 0 are taken 0 times. Rows that repeat an id are separate documents.
+    Extra columns are ignored; an empty table gives an empty result. The same
+    rows give the same result for any partitioning.
+    """
+    placed, plan, slots = _mix(docs, seed, block_words, shard_slots, rows_per_bucket, id_col, text_col, source_col)
+    used = slots.groupBy("source", "i").agg(F.count("*").alias("times"))
     cut = placed.alias("d").join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).where("size > 0")
     pieces = cut.select("doc_id", "d.source", "size", "start", "block", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")).alias("i"))
     overlap = F.least(F.expr("start + size"), F.expr("(i + 1) * block")) - F.greatest(F.col("start"), F.expr("i * block"))
@@ -159,3 +165,9 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 256, shard_s
     out = placed.alias("d").join(taken.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("d.source").eqNullSafe(F.col("x.source")) & (F.col("d.start") == F.col("x.start")) & (F.col("d.size") > 0), "left")
     out = out.join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     return out.select(F.col("d.doc_id").alias(id_col), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_shards(docs: DataFrame, seed: int = 17, block_words: int = 64, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """shard, source, block: the slots of every output shard of the mix of :func:`mix_sources`."""
+    slots = _mix(docs, seed, block_words, shard_slots, rows_per_bucket, id_col, text_col, source_col)[2]
+    return slots.select("shard", "source", F.col("i").alias("block"))
