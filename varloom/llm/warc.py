@@ -116,16 +116,42 @@ def header(name: str, text: str = "headers") -> Column:
     return F.when(F.contains(text, F.lit(f"\r\n{name}: ")), F.substring_index(after, "\r\n", 1))
 
 
+def concurrent_ids(text: str = "headers") -> Column:
+    """All ids that a record names as concurrent."""
+    return F.regexp_extract_all(F.col(text), F.lit(r"\r\nWARC-Concurrent-To: ([^\r]*)"), F.lit(1))
+
+
+def _owners(main: DataFrame, sides: DataFrame) -> DataFrame:
+    """side, owner: the captures that request and metadata records belong to.
+
+    A record belongs to a capture that it names, that names it, or that a record
+    it is named with so belongs to.
+    """
+    named = sides.select(F.col("record_id").alias("x"), F.explode("concurrent").alias("y"))
+    direct = named.join(main.select(F.col("record_id").alias("y")), "y").select(F.col("x").alias("side"), F.col("y").alias("owner"))
+    back = main.where(F.size("concurrent") > 0).select(F.col("record_id").alias("owner"), F.explode("concurrent").alias("side"))
+    first = direct.unionByName(back.select("side", "owner"))
+    # names between request and metadata, both ways; most archives have none
+    between = named.join(main.select(F.col("record_id").alias("y")), "y", "left_anti")
+    between = between.select("x", "y").unionByName(between.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    second = between.join(first.select(F.col("side").alias("y"), "owner"), "y").select(F.col("x").alias("side"), "owner")
+    return first.unionByName(second).distinct()
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: response, request and metadata joined by their concurrent-to ids.
 
     A capture is a response or revisit record. Its request and metadata are the
-    records that name its id as concurrent; a missing one is null, and where
-    several name it the smallest by record id stands. Records that belong to no
-    capture (information about the archive, orphans) give no row. Ids are
+    records that are concurrent to it, whichever of the two names the other and
+    however many ids a record names, or to one of its records; a missing one is
+    null, and of several the smallest by record id stands. Records that belong
+    to no capture (information about the archive, orphans) give no row. Ids are
     unique to a capture, so no key gathers more than its few records.
     """
+    records = records.withColumn("concurrent", concurrent_ids())
     main = records.where(F.col("type").isin("response", "revisit"))
+    sides = records.where(F.col("type").isin("request", "metadata"))
+    owners = _owners(main.select("record_id", "concurrent"), sides.select("record_id", "concurrent"))
     cut = F.instr("block", "\r\n\r\n")
     http = F.substring("block", F.lit(1), cut + 1)
     body = F.substring("block", cut + 4, F.length("block"))
@@ -137,10 +163,10 @@ def assemble(records: DataFrame) -> DataFrame:
         F.coalesce(F.octet_length("payload").cast("long"), header("WARC-Payload-Length").cast("long")).alias("payload_bytes"),
         header("WARC-Refers-To-Page").cast("long").alias("refers_to"), "payload",
     )
-    sides = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     side = F.struct("record_id", "headers", "block")
-    sides = sides.groupBy("concurrent_to").agg(F.min(F.when(F.col("type") == "request", side)).alias("request"), F.min(F.when(F.col("type") == "metadata", side)).alias("metadata"))
-    joined = main.join(sides, F.col("record_id") == F.col("concurrent_to"), "left")
+    met = sides.select("type", "record_id", "headers", "block").join(owners, F.col("record_id") == F.col("side"))
+    met = met.groupBy("owner").agg(F.min(F.when(F.col("type") == "request", side)).alias("request"), F.min(F.when(F.col("type") == "metadata", side)).alias("metadata"))
+    joined = main.join(met, F.col("record_id") == F.col("owner"), "left")
     return joined.select(
         "record_id", "record_type", "target_uri", F.struct("payload", "payload_digest", "payload_bytes", "refers_to").alias("response"), "request",
         F.struct("metadata.record_id", "metadata.block", header("WARC-Page-ID", "metadata.headers").cast("long").alias("page_id")).alias("metadata"),
