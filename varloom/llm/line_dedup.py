@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r"
+#: Beginning of the names of working columns.
+DROPS = "__varloom_drops"
 
 
 def _hash(line: Column) -> tuple[Column, Column]:
@@ -41,8 +43,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, min_chars: int = 20, lg_k:
     A line, trimmed of blanks, tabs and carriage returns, of at least min_chars
     characters is boilerplate when it occurs on min_sites or more distinct
     values of the site column (null is one site of its own). It stays in the
-    document with the smallest id that has it and goes from all others; where
-    every id is null it stays everywhere. Line order and all other lines are
+    document with the smallest id that has it and goes from all others that have
+    an id; documents without one keep it. Line order and all other lines are
     untouched. A null text stays null and loses nothing. Rows that share an id
     are judged alike. Extra columns pass through; a column named n_removed is
     replaced.
@@ -52,11 +54,11 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, min_chars: int = 20, lg_k:
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("-")).alias("site"), F.col(text_col).alias("text"))
     lines = _lines(own, min_chars)
     wide = materialise(spread_of_lines(lines, min_sites, lg_k), "spread")
-    drops = lines.join(wide, ["h1", "h2"]).where(F.col("doc_id") != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("h1").alias("__drops")).withColumnRenamed("doc_id", "__id")
-    gone = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars) & F.array_contains("__drops", F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains("__drops", F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
-    out = docs.drop("n_removed").join(drops, F.col(id_col) == F.col("__id"), "left")
-    has = F.col("__drops").isNotNull() & F.col(text_col).isNotNull()
+    drops = lines.join(wide, ["h1", "h2"]).where(F.col("doc_id") != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("h1").alias(DROPS)).withColumnRenamed("doc_id", DROPS + "_id")
+    gone = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars) & F.array_contains(DROPS, F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(DROPS, F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
+    out = docs.drop("n_removed").join(drops, F.col(id_col) == F.col(DROPS + "_id"), "left")
+    has = F.col(DROPS).isNotNull() & F.col(text_col).isNotNull()
     out = out.withColumn("n_removed", F.when(has, F.size(gone)).otherwise(F.lit(0)))
     out = out.withColumn(text_col, F.when(has, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
     return out.select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
