@@ -208,7 +208,7 @@ def test_mixing_ties_shards_and_clashes(spark):
     a, b = sorted(map(tuple, got.collect()), key=str), sorted(map(tuple, mix_sources(d.repartition(5)).collect()), key=str)
     assert a == b and len(a) == len(rows) and max(r[5] - 3 * r[2] for r in a) <= 0
     assert sum(r[5] for r in a if r[1] == "a") == pytest.approx(next(r[4] for r in a if r[1] == "a"), rel=0.05)
-    slots = mix_shards(d, shard_slots=7).collect()
+    slots = mix_shards(d, block_words=64, shard_slots=7).collect()
     assert len({r["shard"] for r in slots}) == math.ceil(len(slots) / 7) and max(sum(r["shard"] == k for r in slots) for k in range(5)) == 7
     assert len({sum(r["source"] == "a" for r in slots if r["shard"] == k) for k in range(20)}) > 2  # counts are drawn
     blocks = [(r["source"], r["block"]) for r in slots]

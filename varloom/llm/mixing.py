@@ -134,7 +134,7 @@ def _mix(docs: DataFrame, seed: int, block_words: int, shard_slots: int, rows_pe
     return placed, plan, slots.withColumn("i", _permuted(F.expr("k % n_blocks"), n, F.lit(seed), F.coalesce("source", F.lit("\0")), F.expr("k div n_blocks")))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 64, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 128, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: id, source, size, source_size, target, taken.
 
     The words of a source, in an order fixed by a hash of the document, form a
@@ -167,7 +167,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 64, shard_sl
     return out.select(F.col("d.doc_id").alias(id_col), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_shards(docs: DataFrame, seed: int = 17, block_words: int = 64, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_shards(docs: DataFrame, seed: int = 17, block_words: int = 128, shard_slots: int = 1024, rows_per_bucket: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """shard, source, block: the slots of every output shard of the mix of :func:`mix_sources`."""
     slots = _mix(docs, seed, block_words, shard_slots, rows_per_bucket, id_col, text_col, source_col)[2]
     return slots.select("shard", "source", F.col("i").alias("block"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.llm.common import materialise
+
 VERSION = "WARC/1.1\r\n"
 MIN_REVISIT_BYTES = 1000
 EMPTY_DATE = "1970-01-01T00:00:00Z"
@@ -121,20 +123,23 @@ def concurrent_ids(text: str = "headers") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(r"\r\nWARC-Concurrent-To: ([^\r]*)"), F.lit(1))
 
 
-def _owners(main: DataFrame, sides: DataFrame) -> DataFrame:
-    """side, owner: the captures that request and metadata records belong to.
+def _owners(ids: DataFrame) -> DataFrame:
+    """side, owner: the captures that request and metadata records belong to, from type, record_id and concurrent ids.
 
     A record belongs to a capture that it names, that names it, or that a record
     it is named with so belongs to.
     """
-    named = sides.select(F.col("record_id").alias("x"), F.explode("concurrent").alias("y"))
-    direct = named.join(main.select(F.col("record_id").alias("y")), "y").select(F.col("x").alias("side"), F.col("y").alias("owner"))
-    back = main.where(F.size("concurrent") > 0).select(F.col("record_id").alias("owner"), F.explode("concurrent").alias("side"))
-    first = direct.unionByName(back.select("side", "owner"))
+    main = ids.where(F.col("type").isin("response", "revisit"))
+    named = ids.where(F.col("type").isin("request", "metadata")).select(F.col("record_id").alias("side"), F.explode("concurrent").alias("owner"))
+    back = main.where(F.size("concurrent") > 0).select(F.explode("concurrent").alias("side"), F.col("record_id").alias("owner"))
+    captures = main.select(F.col("record_id").alias("owner"))
+    first = named.join(captures, "owner", "left_semi").select("side", "owner").unionByName(back)
     # names between request and metadata, both ways; most archives have none
-    between = named.join(main.select(F.col("record_id").alias("y")), "y", "left_anti")
-    between = between.select("x", "y").unionByName(between.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    second = between.join(first.select(F.col("side").alias("y"), "owner"), "y").select(F.col("x").alias("side"), "owner")
+    between = named.join(captures, "owner", "left_anti").select(F.col("side").alias("x"), F.col("owner").alias("y"))
+    if between.isEmpty():
+        return first.distinct()
+    both = between.unionByName(between.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    second = both.join(first.select(F.col("side").alias("y"), "owner"), "y").select(F.col("x").alias("side"), "owner")
     return first.unionByName(second).distinct()
 
 
@@ -146,12 +151,12 @@ def assemble(records: DataFrame) -> DataFrame:
     however many ids a record names, or to one of its records; a missing one is
     null, and of several the smallest by record id stands. Records that belong
     to no capture (information about the archive, orphans) give no row. Ids are
-    unique to a capture, so no key gathers more than its few records.
+    unique to a capture, so no key gathers more than its few records. The ids
+    alone are written first; whole records are then read twice.
     """
-    records = records.withColumn("concurrent", concurrent_ids())
+    owners = _owners(materialise(records.select("type", "record_id", concurrent_ids().alias("concurrent")), "warc-ids"))
     main = records.where(F.col("type").isin("response", "revisit"))
     sides = records.where(F.col("type").isin("request", "metadata"))
-    owners = _owners(main.select("record_id", "concurrent"), sides.select("record_id", "concurrent"))
     cut = F.instr("block", "\r\n\r\n")
     http = F.substring("block", F.lit(1), cut + 1)
     body = F.substring("block", cut + 4, F.length("block"))
