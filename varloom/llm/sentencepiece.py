@@ -23,11 +23,11 @@ from varloom.llm.common import small_batches, worker_state
 
 BLANK = "▁"
 #: Characters of a batch's distinct words that one suffix array indexes.
-INDEX_CHARS = 100_000
+INDEX_CHARS = 200_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
-MEMORY = 150_000
+MEMORY = 400_000
 #: Characters of a batch that are cut into words at once; a longer text is taken alone.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 4_000_000
 
 #: Letters from which a word is relaxed by itself.
 LONG = 64
@@ -136,6 +136,8 @@ class Codec:
         # ids of words, four bytes each
         self.words: dict[str, bytes] = {}  # with the blank in front, which the key leaves out
         self.starts: dict[str, bytes] = {}  # without one
+        # words of one slice so far; most never come again, and need not push out those that do
+        self.once: dict[str, bytes] = {}
         self.one: dict[tuple[int, int], bool] = {}
         self.pairs, self.fits = np.array([-1], np.int64), np.zeros(1, bool)
 
@@ -355,8 +357,8 @@ class Codec:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
-        for known in (self.words, self.starts):
-            if len(known) > MEMORY:
+        for known, most in ((self.words, MEMORY), (self.starts, MEMORY), (self.once, MEMORY // 4)):
+            if len(known) > most:
                 known.clear()
         words: set[str] = set()
         firsts: set[str] = set()
@@ -365,6 +367,9 @@ class Codec:
                 words.update(filterfalse(self.words.__contains__, ws))
                 if first and first not in self.starts:
                     firsts.add(first)
+        again = words & self.once.keys()
+        self.words.update((w, self.once.pop(w)) for w in again)
+        words -= again
         self._learn_all(self.words, words, BLANK)
         self._learn_all(self.starts, firsts, "")
         get, starts, out = self.words.__getitem__, self.starts, []
@@ -377,6 +382,7 @@ class Codec:
                     ids.append(starts[first])
                 ids.extend(map(get, ws))
             out.append(np.frombuffer(b"".join(ids), dtype=np.int32))
+        self.once.update((w, self.words.pop(w)) for w in words)
         return out
 
     def decode(self, ids: list[int]) -> str:
