@@ -81,30 +81,52 @@ def completion_contexts(lines: DataFrame) -> DataFrame:
     return lines.select("cursor_id", mode.alias("mode"), property_at(F.col("line_text"), F.col("col")).alias("property"), F.when(inside, filter_text(before)).otherwise("").alias("filter")).where("mode is not null")
 
 
+#: Letters of the parts of names by which filters find them, and shares of the names that an empty filter meets.
+GRAM, SHARES = 3, 16
+
+
+def _grams(text: str) -> Column:
+    """Every distinct part of a text of one to GRAM letters."""
+    t = F.col(text)
+
+    def of(k: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, F.lit(k)))
+        return F.when(F.length(t) >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, GRAM + 1)]))
+
+
 def completions(contexts: DataFrame, index: DataFrame, resolved: DataFrame, config: AnalyzerConfig) -> DataFrame:
     """cursor_id, rank, label, insert_text, detail, relevance, tags, sort_text, is_color_item of each completion.
 
-    Ranking is made once for each distinct context, not for each cursor; the
-    contexts (a property, a filter, a mode) are few and meet the index by their
-    filter.
+    Ranking is made once for each distinct context of a filter, a property's
+    words and whether it takes colours, not for each cursor. An empty filter
+    meets every variable, in as many contexts as the settings tell apart; any
+    other meets the names that hold its first letters, by equality. Of each
+    context only the first variables of a task are shuffled.
     """
-    asked = contexts.select("mode", "property", "filter").distinct()
     words = F.create_map(*[x for k, v in config.keywords.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))]) if config.keywords else F.lit(None).cast("map<string,array<string>>")
-    asked = asked.withColumn("words", F.coalesce(F.element_at(words, F.col("property")), F.array().cast("array<string>")))
+    asked = contexts.withColumn("words", F.coalesce(F.element_at(words, F.col("property")), F.array().cast("array<string>")))
     asked = asked.withColumn("wants_color", F.coalesce(F.exists(F.array(*[F.lit(p) for p in COLOR_HINTS]), lambda p: F.contains("property", p)), F.lit(False)))
+    asked = asked.withColumn("part", F.lower("filter"))
+    distinct = asked.select("words", "wants_color", "part").distinct()
     known = index.join(resolved.select("name", F.coalesce(F.nullif("resolved_value", F.lit("")), F.col("value")).alias("shown")), "name").withColumn("lower", F.lower("name"))
-    met = asked.join(known, F.contains("lower", F.lower("filter")))
+    # names meet contexts by the first letters of the filter; the empty part, which every name has, is dealt over shares
+    distinct = distinct.withColumn("gram", F.substring("part", 1, GRAM)).withColumn("share", F.explode(F.when(F.col("part") == "", F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))))
+    known = known.withColumn("gram", F.explode(F.concat(F.array(F.lit("")), _grams("lower")))).withColumn("share", F.when(F.col("gram") == "", F.pmod(F.xxhash64("name"), F.lit(SHARES)).cast("int")).otherwise(F.lit(0)))
+    met = known.join(distinct, ["gram", "share"]).where(F.contains("lower", F.col("part")))
     met = met.withColumn("tags", F.filter("words", lambda w: F.contains("lower", F.lower(w))))
-    score = F.col("use_count") + 50 * F.size("tags") + F.when(F.col("filter") != "", 30).otherwise(0) + F.when(F.col("wants_color") & F.col("is_color"), 40).otherwise(0)
+    score = F.col("use_count") + 50 * F.size("tags") + F.when(F.col("part") != "", 30).otherwise(0) + F.when(F.col("wants_color") & F.col("is_color"), 40).otherwise(0)
     met = met.withColumn("relevance", score)
-    rank = F.row_number().over(Window.partitionBy("mode", "property", "filter").orderBy(F.desc("relevance"), "pattern_ord", "path", "offset"))
-    top = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("mode") == "name", COMPLETIONS_IN_VAR).otherwise(COMPLETIONS_BEFORE_VAR))
-    color = parse_color(F.col("shown"))
+    rank = F.row_number().over(Window.partitionBy("words", "wants_color", "part").orderBy(F.desc("relevance"), "pattern_ord", "path", "offset"))
+    top = met.withColumn("rank", rank).where(F.col("rank") <= max(COMPLETIONS_IN_VAR, COMPLETIONS_BEFORE_VAR))
+    top = top.select("words", "wants_color", "part", "rank", "name", "value", "shown", "relevance", "tags", parse_color(F.col("shown")).alias("color"))
+    most = F.when(F.col("mode") == "name", COMPLETIONS_IN_VAR).otherwise(COMPLETIONS_BEFORE_VAR)
+    found = asked.join(top, ["words", "wants_color", "part"]).where(F.col("rank") <= most)
     call = F.concat(F.lit("var("), "name", F.lit(")"))
-    detail = F.when(F.col("mode") == "call", F.col("value")).otherwise(F.coalesce(color["hex"], F.col("shown")))
+    detail = F.when(F.col("mode") == "call", F.col("value")).otherwise(F.coalesce(F.col("color.hex"), F.col("shown")))
     text = F.when(F.col("mode") == "call", call).otherwise(F.col("name"))
-    top = top.select(F.col("mode").alias("m"), F.col("property").alias("p"), F.col("filter").alias("f"), "rank", "name", text.alias("label"), text.alias("insert_text"), detail.alias("detail"), "relevance", "tags", F.lpad((F.col("rank") - 1).cast("string"), 4, "0").alias("sort_text"), color.isNotNull().alias("is_color_item"))
-    return contexts.join(top, F.col("mode").eqNullSafe(F.col("m")) & F.col("property").eqNullSafe(F.col("p")) & F.col("filter").eqNullSafe(F.col("f"))).drop("m", "p", "f")
+    return found.select(*contexts.columns, "rank", "name", text.alias("label"), text.alias("insert_text"), detail.alias("detail"), "relevance", "tags", F.lpad((F.col("rank") - 1).cast("string"), 4, "0").alias("sort_text"), F.col("color").isNotNull().alias("is_color_item"))
 
 
 def completion_details(index: DataFrame, resolved: DataFrame, config: AnalyzerConfig) -> DataFrame:
@@ -118,19 +140,40 @@ def completion_details(index: DataFrame, resolved: DataFrame, config: AnalyzerCo
     return r.select("name", F.concat_ws("", *parts).alias("documentation"))
 
 
+def _parts(text: str, least: int) -> Column:
+    """Every distinct part of a text of least letters or more."""
+    t = F.col(text)
+    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(F.lit(1), F.length(t) - i + 1), lambda k: F.substring(t, i, k))))
+    found = F.when(F.length(t) > 0, inside).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(F.array(F.lit("")), found), lambda p: F.length(p) >= least))
+
+
 def hover_similar(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> DataFrame:
     """name, rank, candidate, points: names that share words with a missing one.
 
     10 for each pair of a word of two letters or more and a candidate's word,
-    either within the other; 5 where the first five characters agree.
+    either within the other; 5 where the first five characters agree. Distinct
+    words meet by equality with the parts of each other, and names through
+    their words; of the names that agree at the beginning only, the first in
+    index order can be among the best, so no more of them are looked at.
     """
+    order = ["pattern_ord", "path", "offset"]
     words = lambda c: F.split(F.call_function("regexp_replace", F.lower(c), F.lit("^(.*?)--"), F.lit("$1")), "-", -1)
-    asked = names.select("name").distinct().withColumn("mine", F.filter(words(F.col("name")), lambda w: F.length(w) >= 2)).withColumn("start", F.substring(F.lower("name"), 1, 5))
-    known = index.select(F.col("name").alias("candidate"), words(F.col("name")).alias("theirs"), F.lower("name").alias("lower"), "pattern_ord", "path", "offset")
-    pairs = F.aggregate("mine", F.lit(0), lambda s, w: s + F.size(F.filter("theirs", lambda v: F.contains(v, w) | F.contains(w, v))))
-    points = 10 * pairs + F.when(F.startswith("lower", F.col("start")), 5).otherwise(0)
-    met = asked.join(known, points > 0).withColumn("points", points)
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("points"), "pattern_ord", "path", "offset"))
+    asked = names.select("name").distinct().withColumn("start", F.substring(F.lower("name"), 1, 5))
+    known = index.select(F.col("name").alias("candidate"), F.lower("name").alias("lower"), *order)
+    mine = asked.select("name", F.explode(words(F.col("name"))).alias("w")).where(F.length("w") >= 2).groupBy("name", "w").agg(F.count("*").alias("n"))
+    theirs = known.select("candidate", F.explode(words(F.col("candidate"))).alias("v")).groupBy("candidate", "v").agg(F.count("*").alias("m"))
+    w, v = mine.select("w").distinct(), theirs.select("v").distinct()
+    within = w.join(v.withColumn("w", F.explode(_parts("v", 2))), "w").select("w", "v")
+    around = w.withColumn("v", F.explode(_parts("w", 0))).join(v, "v").select("w", "v")
+    pairs = mine.join(within.unionByName(around).distinct(), "w").groupBy("name", "v").agg(F.sum("n").alias("n"))
+    shared = pairs.join(theirs, "v").groupBy("name", "candidate").agg((10 * F.sum(F.col("n") * F.col("m"))).cast("int").alias("points"))
+    shared = shared.join(asked, "name").join(known, "candidate").withColumn("points", F.col("points") + F.when(F.startswith("lower", F.col("start")), 5).otherwise(0))
+    starts = known.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.substring("lower", F.lit(1), k)))).distinct()
+    first = F.row_number().over(Window.partitionBy("start").orderBy(*order))
+    starts = starts.withColumn("at", first).where(F.col("at") <= limit).join(asked, "start").join(shared.select("name", "candidate"), ["name", "candidate"], "left_anti")
+    met = shared.unionByName(starts.withColumn("points", F.lit(5)).drop("at"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("points"), *order))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("name", "rank", "candidate", "points")
 
 

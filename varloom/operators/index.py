@@ -53,9 +53,27 @@ def search_by_keywords(index: DataFrame, words: list[str]) -> DataFrame:
     return index.where(F.exists(F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>"), lambda w: F.contains(F.lower("name"), w)))
 
 
+#: Shares into which a ranked table is cut, and rows of it that are looked at for each cut.
+SHARES, LOOKED = 512, 16
+
+
 def by_usage(index: DataFrame) -> DataFrame:
-    """Variables by falling use count, then index order, with their rank."""
-    return index.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("use_count"), "pattern_ord", "path", "offset")))
+    """Variables by falling use count, then index order, with their rank.
+
+    The table is cut by ranges of the order, at places that SHARES * LOOKED
+    names of least hash stand for; a share's rows are ranked by themselves and
+    follow the rows of the shares before it, so no task sorts the whole index.
+    """
+    place = F.struct((-F.col("use_count")).alias("u"), "pattern_ord", "path", "offset")
+    sample = index.select(place.alias("place"), F.xxhash64("name").alias("h")).orderBy("h", "place").limit(SHARES * LOOKED)
+    every = F.greatest(F.lit(1), F.ceil(F.size("places") / SHARES)).cast("int")
+    cuts = sample.agg(F.array_sort(F.collect_list("place")).alias("places")).select(F.filter("places", lambda _, i: i % every == 0).alias("cuts"))
+    # one row of at most SHARES places, so the join is with a constant
+    dealt = index.join(F.broadcast(cuts)).withColumn("__share", F.size(F.filter("cuts", lambda c: c <= place))).drop("cuts")
+    counts = dealt.groupBy("__share").agg(F.count("*").alias("__n"))
+    before = counts.select("__share", (F.sum("__n").over(Window.orderBy("__share")) - F.col("__n")).cast("int").alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__share").orderBy(F.desc("use_count"), "pattern_ord", "path", "offset"))
+    return dealt.join(F.broadcast(before), "__share").withColumn("rank", F.col("__before") + rank).drop("__share", "__before")
 
 
 def quick_list(index: DataFrame) -> DataFrame:
