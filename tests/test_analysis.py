@@ -1,9 +1,13 @@
 """The analysis end to end: parsing quirks, resolution, findings, fixes, streaming."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from varloom.config import AnalyzerConfig
+from varloom.config import COLOR_HINTS, AnalyzerConfig
 from varloom.operators import editor, parse
+from varloom.operators.index import by_usage
 from varloom.plans.analyzer import Analyzer
 from varloom.sources.files import files_from_table, read_files
 from varloom.streaming.changes import DefinitionStream, replay
@@ -213,3 +217,33 @@ def test_variables_for_values_by_brute_force(spark):
             elif rgb(t.lower()) and rgb(v.lower()) and (s := 50 - math.dist(rgb(t.lower()), rgb(v.lower())) / 5) > 10:
                 scored.append((-s, k, n))
         assert sorted(got.get(v, [])) == [(i + 1, n, round(-s, 6)) for i, (s, _, n) in enumerate(sorted(scored)[:3])]
+
+
+def test_editor_rankings_against_brute_force(spark):
+    names = ["--red", "--dark-red", "--a--red", "--redder", "--RE-d", "--blue-red-red", "--x", "--dark", "--da-", "--zz-top", "--zz-tap", "--zz-tip", "--zz-tup"]
+    rows = [(n, "#fff", "/ws/v.css", 0, 0, k, True, 0, (k * 7) % 3) for k, n in enumerate(names)]
+    known = spark.createDataFrame(rows, "name string, value string, path string, line int, col int, offset int, is_color boolean, pattern_ord int, use_count bigint")
+
+    ranked = [r["name"] for r in by_usage(known).orderBy("rank").collect()]
+    assert ranked == [r[0] for r in sorted(rows, key=lambda r: (-r[8], r[5]))]
+    assert by_usage(known.where("false")).count() == 0
+
+    words = lambda n: re.sub(r"^(.*?)--", "", n.lower(), count=1).split("-")
+    asked = ["--red", "--dark-redd", "--zz-", "--q", "--dark--", "--re-re-d", "--nothing-here"]
+    want = {}
+    for a in asked:
+        points = [(10 * sum(w in v or v in w for w in words(a) if len(w) > 1 for v in words(n)) + 5 * n.lower().startswith(a.lower()[:5]), k, n) for k, n in enumerate(names)]
+        for rank, (p, _, n) in enumerate(sorted((x for x in points if x[0]), key=lambda x: (-x[0], x[1]))[:3], 1):
+            want[a, rank] = (n, p)
+    got = editor.hover_similar(spark.createDataFrame([(a,) for a in asked + asked[:2]], "name string"), known)
+    assert {(r["name"], r["rank"]): (r["candidate"], r["points"]) for r in got.collect()} == want
+
+    contexts = [(1, "name", "color", ""), (2, "name", None, "RED"), (3, "call", "color", ""), (4, "name", "fill", "z-t"), (5, "name", None, "d"), (6, "name", None, "none-such"), (7, "name", None, "RED")]
+    resolved = known.select("name", "value", F.col("value").alias("resolved_value"))
+    got = editor.completions(spark.createDataFrame(contexts, "cursor_id int, mode string, property string, filter string"), known, resolved, AnalyzerConfig()).collect()
+    keywords = AnalyzerConfig().keywords
+    for cursor, mode, prop, part in contexts:
+        colours = 40 * any(h in (prop or "") for h in COLOR_HINTS)
+        scored = [(r[8] + 50 * sum(w.lower() in r[0].lower() for w in keywords.get(prop, [])) + (30 if part else 0) + colours, -r[5], r[0]) for r in rows if part.lower() in r[0].lower()]
+        best = [(s, n) for s, _, n in sorted(scored, reverse=True)][: 5 if mode == "call" else 50]
+        assert [(r["relevance"], r["name"]) for r in sorted((r for r in got if r["cursor_id"] == cursor), key=lambda r: r["rank"])] == best
