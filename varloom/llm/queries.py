@@ -78,6 +78,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from varloom.llm.packing import best_fit_packing
+
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = str(public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -89,6 +105,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP1_SQL = """
@@ -139,4 +157,31 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN component ON node = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
 """
 
-ORACLE_SQL = {"op10_embedding_dedup": OP10_SQL, "op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), first AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t
+), m AS (
+  SELECT part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(w) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 10 * length(d.t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > low THEN 16 ELSE 0 END AS mask, doc_id
+  FROM d JOIN first ON first.t = d.t
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), cells AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY ALL
+), bits AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) b(f, bit)
+), walk AS (
+  SELECT f AS o, bit AS used, 1 AS k FROM bits
+  UNION ALL SELECT o || f, used + bit, k + 1 FROM walk JOIN bits ON used & bit = 0
+), steps AS (SELECT o AS filter_order, CAST(s AS INTEGER) AS step, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS earlier FROM walk, range(1, 6) r(s) WHERE k = 5
+), placed AS (SELECT s.filter_order, s.step, s.f, b.bit, coalesce((SELECT sum(e.bit) FROM bits e WHERE contains(s.earlier, e.f)), 0)::BIGINT AS past FROM steps s JOIN bits b ON b.f = s.f
+), seen AS (
+  SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (WHERE mask & (bit | past) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & past = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & past <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & past = 0 AND good = 1), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & past = 0 AND toxic = 1), 0) AS BIGINT) AS toxic_lost
+  FROM cells, placed GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM seen
+"""
+
+ORACLE_SQL = {"op13_filter_audit": OP13_SQL, "op10_embedding_dedup": OP10_SQL, "op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
