@@ -103,11 +103,10 @@ def plan(counts: Iterable[tuple[int, int]], size: int) -> tuple[list[tuple[int,
     """Best fit, longest first, over counts of lengths: (length, first rank, items, sequences, first sequence, offset) and the number of sequences.
 
     Items of a slot go round its sequences; each round lies one length further on.
-
-
     Sequences that hold the same lengths are one group. Items of a length fill
-    the group with the least room that fits, else new sequences. What it costs depends on the number of different
-    lengths, at most size, not on the number of items.
+    the group with the least room that fits, else new sequences. What it costs
+    depends on the number of different lengths, at most size, not on the number
+    of items.
     """
     rooms: dict[int, list[tuple[int, int]]] = {}  # room -> groups (first sequence, number), a heap
     free: list[int] = []  # rooms that have groups, in order
