@@ -85,9 +85,8 @@ def test_bounds_hold_and_leave_rows_out():
     rng = np.random.default_rng(5)
     exact = rng.normal(0, 60, (3000, 32)).round().astype(int)
     group = pd.DataFrame({"dim": 32, "block": 0, "key": range(3000), "vec_id": range(3000), "label": 0, "vector": [np.array(x) for x in exact]})
-    rows = _pack_rows(group).iloc[0]
-    anchors = _pack_anchors(group[:4].assign(ablock=0, windows=[np.array([], dtype=object)] * 4)).iloc[0]
-    pair = _Pair(pd.concat([rows, anchors.drop("dim")]))
+    anchors = _pack_anchors(group[:4].assign(ablock=0, windows=[np.array([], dtype=object)] * 4))
+    pair = _Pair(next(_pack_rows(group).join(anchors.drop(columns="dim")).itertuples(index=False)))
     for k in range(4):
         lower, upper = pair.bounds(k, 0, 3000)
         true = exact @ exact[k]
