@@ -21,22 +21,79 @@ def js_trim(value: Column) -> Column:
     return F.regexp_replace(value, f"^[{WS}]+|[{WS}]+\\z", "")
 
 
+#: Elements of which a running total is made at once; see starts.
+CHUNK = 64
+
+
+def place(offset: Column, line: Column, col: Column) -> Column:
+    """struct<offset, line, col>, all from 0: a position, or how far a text moves one."""
+    return F.struct(offset.cast("int").alias("offset"), line.cast("int").alias("line"), col.cast("int").alias("col"))
+
+
+def extent(text: Column) -> Column:
+    """How far a text moves a position."""
+    size = F.length(text)
+    broken = F.contains(text, F.lit("\n"))
+    lines = F.when(broken, size - F.length(F.replace(text, F.lit("\n"), F.lit("")))).otherwise(0)
+    return place(size, lines, F.when(broken, F.length(F.substring_index(text, "\n", -1))).otherwise(size))
+
+
+def moved(at: Column, by: Column) -> Column:
+    """A position after an extent."""
+    return place(at["offset"] + by["offset"], at["line"] + by["line"], F.when(by["line"] > 0, by["col"]).otherwise(at["col"] + by["col"]))
+
+
+def starts(extents: Column) -> Column:
+    """The position before each of an array of extents, the first at the text's start.
+
+    Running totals are made over chunks and over the chunks' totals, so the work
+    is in proportion to the array but for one part in CHUNK squared.
+    """
+    zero = place(F.lit(0), F.lit(0), F.lit(0))
+    none = F.array().cast("array<struct<offset:int,line:int,col:int>>")
+
+    def running(items: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("before"))
+        return F.aggregate(items, start, lambda acc, e: F.struct(moved(acc["at"], e).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+
+    def placed(e: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(e), F.lit(1)), F.lit(CHUNK))
+        chunks = F.transform(first, lambda k: running(F.slice(e, k, F.lit(CHUNK))))
+        joined = lambda c: F.flatten(F.zip_with(running(F.transform(c, lambda x: x["at"]))["before"], c, lambda top, x: F.transform(x["before"], lambda p: moved(top, p))))
+        return F.when(F.size(e) <= CHUNK, running(e)["before"]).otherwise(let(chunks, joined))
+
+    return let(extents, placed)
+
+
+def split_at(text: Column, mark: str) -> Column:
+    """array<struct<text, at>> of the parts between marks, and where they begin; a mark is one letter without a meaning in patterns, no line feed."""
+
+    def placed(parts: Column) -> Column:
+        over = F.transform(parts, lambda p: let(extent(p), lambda e: place(e["offset"] + 1, e["line"], e["col"] + 1)))
+        return F.zip_with(parts, starts(over), lambda p, at: F.struct(p.alias("text"), at.alias("at")))
+
+    return let(F.split(text, mark, -1), placed)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<ord, offset, match>> of a pattern's matches, offsets from 0.
+    """array<struct<offset, line, col, match>> of a pattern's matches and where they begin, from 0, in one pass.
 
-    Each match is looked up from the end of the one before: had its text stood
-    any earlier, the leftmost match would have been there.
+    The text is cut at the matches; what lies between and the matches themselves
+    add up to the positions. A lone match is looked up: had its text stood any
+    earlier, the leftmost match would have been there. Patterns look at nothing
+    outside their match.
     """
+    at = lambda p, m: F.struct(p["offset"].alias("offset"), p["line"].alias("line"), p["col"].alias("col"), m.alias("match"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<offset:int,match:string>>")
-    start = F.struct(F.lit(1).alias("pos"), empty.alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["pos"])
-        item = F.struct((at - 1).alias("offset"), m.alias("match"))
-        return F.struct((at + F.length(m)).alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def alone(all_: Column) -> Column:
+        return F.transform(all_, lambda m: at(extent(F.substring(text, F.lit(1), F.call_function("instr", text, m) - 1)), m))
+
+    def several(all_: Column) -> Column:
+        parts = F.flatten(F.zip_with(F.split(text, pattern, -1), all_, lambda gap, m: F.array(gap, F.coalesce(m, F.lit("")))))
+        return let(starts(F.transform(parts, extent)), lambda begin: F.transform(all_, lambda m, k: at(F.get(begin, 2 * k + 1), m)))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    return let(found, lambda all_: F.when(F.size(all_) <= 1, alone(all_)).otherwise(several(all_)))
 
 
 def line_of(text: Column, offset: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.config import AnalyzerConfig
 from varloom.functions.color import is_color
-from varloom.functions.text import WS, js_trim, let, matches
+from varloom.functions.text import WS, extent, js_trim, let, matches, moved, place
 
 _S = f"[{WS}]"
 VAR = rf"var\({_S}*(--[\w-]+){_S}*(?:,{_S}*([^)]+))?{_S}*\)"
@@ -38,11 +38,13 @@ def fallback_of(call: Column) -> Column:
 
 
 def var_calls(value: Column) -> Column:
-    """array<struct<call, name, fallback, start, end>> of the var() calls of a value."""
-    return F.transform(
-        matches(value, VAR),
-        lambda m: F.struct(m["match"].alias("call"), F.regexp_extract(m["match"], VAR, 1).alias("name"), fallback_of(m["match"]).alias("fallback"), m["offset"].alias("start"), (m["offset"] + F.length(m["match"])).alias("end")),
-    )
+    """array<struct<call, name, fallback, start, end>> of the var() calls of a value; start and end are positions."""
+
+    def of(m: Column) -> Column:
+        start = place(m["offset"], m["line"], m["col"])
+        return F.struct(m["match"].alias("call"), F.regexp_extract(m["match"], VAR, 1).alias("name"), fallback_of(m["match"]).alias("fallback"), start.alias("start"), moved(start, extent(m["match"])).alias("end"))
+
+    return F.transform(matches(value, VAR), of)
 
 
 def is_definition(prop: Column) -> Column:

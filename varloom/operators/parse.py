@@ -1,7 +1,8 @@
 """Style sheets to rules, declarations, uses and definitions, with document positions.
 
-Every step is a projection or an explode over one document: no shuffle, and the
-text is dropped as soon as positions are known.
+Every step is a projection or an explode over one document: no shuffle. A
+document is cut at its marks once, and what lies before each cut adds up to its
+position; no row carries the text of the whole document.
 """
 
 from __future__ import annotations
@@ -10,96 +11,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.color import is_color
-from varloom.functions.text import WS, column_of, js_trim, let, line_of, matches
+from varloom.functions.text import WS, extent, js_trim, let, matches, moved, place, split_at
 from varloom.functions.values import VAR, clean_value, definition_name, is_definition, var_calls
 
 COMMENT = r"/\*[\s\S]*?\*/"
-#: Innermost blocks. The look-behind and the possessive classes match what the plain pattern matches, in linear time.
-RULE = r"(?<![^{}])([^{}]++)\{([^{}]*+)\}"
-DECLARATION = rf"(?<![a-zA-Z-])([a-zA-Z-]++)[{WS}]*:[{WS}]*([^;]+);?"
+#: A declaration up to the end of its part between semicolons; the look-behind and the possessive class match what the plain pattern matches, in linear time.
+DECLARATION = rf"(?<![a-zA-Z-])([a-zA-Z-]++)[{WS}]*:[{WS}]*([^;]+)"
 DEFINITION = rf"(--[\w-]+)[{WS}]*:[{WS}]*([^;{{}}]+);"
 
 
+def without_comments(text: Column) -> Column:
+    """struct<blank, masked>, both as long as the text: comments as blanks, and comments whose braces and semicolons do not count.
+
+    The masked text keeps lines and words of comments; marks in them become U+0001.
+    """
+
+    def joined(s: Column, change) -> Column:
+        return F.array_join(F.zip_with(s["gaps"], F.transform(s["found"], change), lambda g, c: F.concat(F.coalesce(g, F.lit("")), F.coalesce(c, F.lit("")))), "")
+
+    both = let(
+        F.struct(F.split(text, COMMENT, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0)).alias("found")),
+        lambda s: F.struct(joined(s, lambda c: F.repeat(F.lit(" "), F.length(c))).alias("blank"), joined(s, lambda c: F.translate(c, "{};", "\x01\x01\x01")).alias("masked")),
+    )
+    return F.when(F.contains(text, F.lit("/*")), both).otherwise(F.struct(text.alias("blank"), text.alias("masked")))
+
+
 def blank_comments(text: Column) -> Column:
     """Comments as blanks of the same length, so that offsets stay."""
-    gaps, found = F.split(text, COMMENT, -1), F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0))
-    blanks = F.transform(found, lambda c: F.repeat(F.lit(" "), F.length(c)))
-    joined = F.array_join(F.zip_with(gaps, blanks, lambda g, b: F.concat(F.coalesce(g, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("/*")), joined).otherwise(text)
+    return without_comments(text)["blank"]
+
+
+def _parts(blank: Column, masked: Column, mark: str) -> Column:
+    """array<struct<text, masked, at>>: both texts cut at the same marks."""
+    return F.zip_with(F.split(blank, mark, -1), split_at(masked, mark), lambda b, m: F.struct(b.alias("text"), m["text"].alias("masked"), m["at"].alias("at")))
+
+
+def _upto(text: Column, at: Column) -> Column:
+    return extent(F.substring(text, F.lit(1), at))
 
 
 def rules(files: DataFrame) -> DataFrame:
-    """path, rule_ord, selector, content, rule positions, and the rule's own text as it stands in the document.
+    """path, lang, rule_ord, selector, content, rule_line, rule_col, and what declarations are placed by.
 
-    Parts are cut out before the explode, so later filters read them as fields.
+    A rule is an innermost block with something in front. The text is cut at
+    closing braces: in each part the last opening brace opens the block, and the
+    selector goes back to the brace before. Positions are running totals over the
+    parts, so a document is read once, however many rules it has.
     """
 
-    def parts(m: Column) -> Column:
-        return let(F.substring_index(m["match"], "{", 1), lambda head: F.struct(m["offset"].alias("offset"), F.length(m["match"]).alias("size"), js_trim(head).alias("selector"), (F.length(head) + 1).alias("content_at"), F.substring(m["match"], F.length(head) + 2, F.length(m["match"]) - F.length(head) - 2).alias("content")))
+    def cut(p: Column) -> Column:
+        def of(content: Column, before: Column, head: Column) -> Column:
+            inner = F.substring(p["masked"], F.length(before) + 2, F.length(content))
+            at = moved(p["at"], _upto(p["masked"], F.length(before) - F.length(head)))
+            return F.struct(head.alias("head"), content.alias("content"), inner.alias("masked"), at.alias("at"), moved(p["at"], _upto(p["masked"], F.length(before) + 1)).alias("content_at"))
 
-    found = files.where(F.col("text").isNotNull()).select("path", "lang", "text", F.posexplode(F.transform(matches(blank_comments(F.col("text")), RULE), parts)).alias("rule_ord", "m"))
-    t, offset, size = F.col("text"), F.col("m.offset"), F.col("m.size")
-    return found.select(
-        "path", "lang", "rule_ord", "m.selector", "m.content", "m.content_at",
-        F.substring("text", offset + 1, size).alias("original"), line_of(t, offset).alias("rule_line"), column_of(t, offset).alias("rule_col"), offset.alias("rule_offset"),
-        # what follows on the last line of the rule: a value is looked up on a whole line
-        F.substring_index(F.substring("text", offset + size + 1, F.length("text")), "\n", 1).alias("after"),
-    )
+        return let(F.substring_index(p["text"], "{", -1), lambda content: let(F.substring(p["text"], F.lit(1), F.length(p["text"]) - F.length(content) - 1), lambda before: let(F.substring_index(before, "{", -1), lambda head: of(content, before, head))))
 
+    def blocks(t: Column) -> Column:
+        # the last part has no closing brace; a part without an opening one has nothing in front
+        closed = let(_parts(t["blank"], t["masked"], "}"), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+        opened = F.filter(closed, lambda p: F.contains(p["text"], F.lit("{")))
+        return F.filter(F.transform(opened, cut), lambda r: r["head"] != "")
 
-def _position(at: Column) -> Column:
-    """Document line and column of an offset inside a rule."""
-    line = line_of(F.col("original"), at)
-    return let(line, lambda n: F.struct((F.col("rule_line") + n).alias("line"), F.when(n == 0, F.col("rule_col") + at).otherwise(column_of(F.col("original"), at)).alias("col")))
+    found = files.where(F.col("text").isNotNull()).select("path", "lang", F.posexplode(let(without_comments(F.col("text")), blocks)).alias("rule_ord", "m"))
+    return found.select("path", "lang", "rule_ord", js_trim(F.col("m.head")).alias("selector"), "m.content", F.col("m.at.line").alias("rule_line"), F.col("m.at.col").alias("rule_col"), F.col("m.masked").alias("masked"), F.col("m.content_at").alias("content_at"))
 
 
 def declarations(rule_rows: DataFrame) -> DataFrame:
-    """path, rule_ord, decl_ord, property, value, is_definition, and ranges of property and value."""
+    """path, rule_ord, decl_ord, property, value, is_definition, and ranges of property and value.
 
-    def cut(m: Column) -> Column:
-        text = m["match"]
-        return F.struct(m["offset"].alias("offset"), text.alias("text"), F.regexp_extract(text, DECLARATION, 1).alias("property"), F.regexp_extract(text, DECLARATION, 2).alias("raw"))
+    A declaration lies between two semicolons and reaches to the second; all
+    lookups stay inside it.
+    """
 
-    def placed(c: Column) -> Column:
-        lead = F.length(c["raw"]) - F.length(F.regexp_replace(c["raw"], f"^[{WS}]+", ""))
-        prop_at = F.col("content_at") + c["offset"]
-        return F.struct(c["property"].alias("property"), clean_value(c["raw"]).alias("value"), prop_at.alias("prop_at"), (prop_at + F.call_function("instr", c["text"], c["raw"]) - 1 + lead).alias("value_at"))
+    def cut(p: Column) -> Column:
+        def of(text: Column) -> Column:
+            at = F.length(p["text"]) - F.length(text)
+            return F.struct(text.alias("text"), F.substring(p["masked"], at + 1, F.length(text)).alias("masked"), moved(moved(F.col("content_at"), p["at"]), _upto(p["masked"], at)).alias("at"))
 
-    def ranged(p: Column) -> Column:
-        return F.struct(p["property"].alias("property"), p["value"].alias("value"), _position(p["prop_at"]).alias("prop"), _position(p["value_at"]).alias("start"), _position(p["value_at"] + F.length(p["value"])).alias("end"))
+        return let(F.regexp_extract(p["text"], DECLARATION, 0), of)
 
-    found = F.transform(F.transform(F.transform(matches(F.col("content"), DECLARATION), cut), placed), ranged)
-    d = rule_rows.select("path", "lang", "rule_ord", "selector", "rule_line", "rule_col", "original", "after", F.posexplode(found).alias("decl_ord", "m"))
-    d = d.select(
-        "path", "lang", "rule_ord", "selector", "rule_line", "rule_col", "original", "after", "decl_ord", "m.property", "m.value", F.col("m.prop.line").alias("prop_line"), F.col("m.prop.col").alias("prop_col"),
-        F.col("m.start.line").alias("value_line"), F.col("m.start.col").alias("value_col"), F.col("m.start.line").alias("start_line"), F.col("m.start.col").alias("start_col"), F.col("m.end.line").alias("end_line"), F.col("m.end.col").alias("end_col"),
-    )
+    found = F.filter(F.transform(_parts(F.col("content"), F.col("masked"), ";"), cut), lambda d: d["text"] != "")
+    d = rule_rows.select("path", "lang", "rule_ord", "selector", F.posexplode(found).alias("decl_ord", "m"))
+    d = d.select("*", F.regexp_extract("m.text", DECLARATION, 1).alias("property"), F.regexp_extract("m.text", DECLARATION, 2).alias("raw"))
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"^[{WS}]+", ""))
+    d = d.select("*", clean_value(F.col("raw")).alias("value"), (F.call_function("instr", F.col("m.text"), F.col("raw")) - 1 + lead).alias("value_at"))
+    masked, at = F.col("m.masked"), F.col("m.at")
+    d = d.select("*", moved(at, _upto(masked, F.col("value_at"))).alias("start"), moved(at, _upto(masked, F.col("value_at") + F.length("value"))).alias("end"))
     # a value of one line that starts on another line than its property is marked on the property's line if it also stands there
-    on_rule_line = F.col("prop_line") - F.col("rule_line")
-    line = F.get(F.split(F.concat("original", "after"), "\n", -1), on_rule_line)
-    shift = F.when(on_rule_line == 0, F.col("rule_col")).otherwise(F.lit(0))
-    again = F.when((F.col("value") != "") & ~F.contains("value", F.lit("\n")) & (F.col("start_line") != F.col("prop_line")), F.call_function("locate", F.col("value"), line, F.col("prop_col") + F.length("property") - shift + 1))
-    moved = F.coalesce(again, F.lit(0)) > 0
-    at = again - 1 + shift
-    d = d.withColumn("start_col", F.when(moved, at).otherwise(F.col("start_col"))).withColumn("end_col", F.when(moved, at + F.length("value")).otherwise(F.col("end_col")))
-    d = d.withColumn("end_line", F.when(moved, F.col("prop_line")).otherwise(F.col("end_line"))).withColumn("start_line", F.when(moved, F.col("prop_line")).otherwise(F.col("start_line")))
+    line = F.substring_index(F.substring(masked, F.length("property") + 1, F.length(masked)), "\n", 1)
+    other = (F.col("value") != "") & ~F.contains("value", F.lit("\n")) & (F.col("start.line") != at["line"])
+    d = d.select("*", F.when(other, F.nullif(F.call_function("instr", line, F.col("value")), F.lit(0))).alias("again"))
+    back = F.col("again").isNotNull()
+    col = at["col"] + F.length("property") + F.col("again") - 1
     return d.select(
-        "path", "lang", "rule_ord", "decl_ord", "selector", "property", "value", is_definition(F.col("property")).alias("is_definition"),
-        "prop_line", "prop_col", "value_line", "value_col", "start_line", "start_col", "end_line", "end_col",
+        "path", "lang", "rule_ord", "decl_ord", "selector", "property", "value", is_definition(F.col("property")).alias("is_definition"), at["line"].alias("prop_line"), at["col"].alias("prop_col"),
+        F.col("start.line").alias("value_line"), F.col("start.col").alias("value_col"), F.when(back, at["line"]).otherwise(F.col("start.line")).alias("start_line"), F.when(back, col).otherwise(F.col("start.col")).alias("start_col"),
+        F.when(back, at["line"]).otherwise(F.col("end.line")).alias("end_line"), F.when(back, col + F.length("value")).otherwise(F.col("end.col")).alias("end_col"),
     )
 
 
-def var_uses(decls: DataFrame) -> DataFrame:
-    """path, rule_ord, decl_ord, use_ord, name, fallback and the range of each var() call."""
-    u = decls.where(F.contains("value", F.lit("var("))).select("path", "lang", "rule_ord", "decl_ord", "property", "value", "value_line", "value_col", F.posexplode(var_calls(F.col("value"))).alias("use_ord", "m"))
+def placed_uses(value: Column, line: Column, col: Column) -> Column:
+    """array<struct<name, fallback, start_line, start_col, end_line, end_col>> of the var() calls of a value that stands at a position."""
+    at = place(F.lit(0), line, col)
 
-    def place(at: Column) -> tuple[Column, Column]:
-        line = line_of(F.col("value"), at)
-        return F.col("value_line") + line, F.when(line == 0, F.col("value_col") + at).otherwise(column_of(F.col("value"), at))
+    def of(u: Column) -> Column:
+        ends = lambda p: moved(at, p)
+        return let(F.struct(ends(u["start"]).alias("s"), ends(u["end"]).alias("e")), lambda r: F.struct(u["name"].alias("name"), u["fallback"].alias("fallback"), r["s"]["line"].alias("start_line"), r["s"]["col"].alias("start_col"), r["e"]["line"].alias("end_line"), r["e"]["col"].alias("end_col")))
 
-    sl, sc = place(F.col("m.start"))
-    el, ec = place(F.col("m.end"))
-    return u.select("path", "lang", "rule_ord", "decl_ord", "use_ord", "property", F.col("m.name").alias("name"), F.col("m.fallback").alias("fallback"), sl.alias("start_line"), sc.alias("start_col"), el.alias("end_line"), ec.alias("end_col"))
+    return F.transform(var_calls(value), of)
+
+
+def var_uses(decls: DataFrame) -> DataFrame:
+    """path, rule_ord, decl_ord, use_ord, name, fallback and the range of each var() call."""
+    uses = placed_uses(F.col("value"), F.col("value_line"), F.col("value_col"))
+    u = decls.where(F.contains("value", F.lit("var("))).select("path", "lang", "rule_ord", "decl_ord", "property", F.posexplode(uses).alias("use_ord", "m"))
+    return u.select("path", "lang", "rule_ord", "decl_ord", "use_ord", "property", "m.*")
 
 
 def rule_definitions(decls: DataFrame) -> DataFrame:
@@ -109,21 +136,17 @@ def rule_definitions(decls: DataFrame) -> DataFrame:
 
 def definitions(files: DataFrame) -> DataFrame:
     """Definitions of the index: anywhere in the raw text, comments included, with their semicolon."""
-
-    def cut(m: Column) -> Column:
-        return F.struct(m["offset"].alias("offset"), F.regexp_extract(m["match"], DEFINITION, 1).alias("name"), clean_value(F.regexp_extract(m["match"], DEFINITION, 2)).alias("value"))
-
-    t, at = F.col("text"), F.col("m.offset")
-    found = files.where(t.isNotNull()).select("path", "pattern_ord", "text", F.explode(F.transform(matches(t, DEFINITION), cut)).alias("m"))
-    return found.select("path", "pattern_ord", "m.name", "m.value", line_of(t, at).alias("line"), column_of(t, at).alias("col"), at.alias("offset"), is_color(F.col("m.value")).alias("is_color"))
+    found = files.where(F.col("text").isNotNull()).select("path", "pattern_ord", F.explode(matches(F.col("text"), DEFINITION)).alias("m"))
+    found = found.select("path", "pattern_ord", F.regexp_extract("m.match", DEFINITION, 1).alias("name"), clean_value(F.regexp_extract("m.match", DEFINITION, 2)).alias("value"), "m.line", "m.col", "m.offset")
+    return found.withColumn("is_color", is_color(F.col("value")))
 
 
 def document_uses(files: DataFrame) -> DataFrame:
     """var() calls anywhere in the raw text, without regard to rules."""
-    found = files.where(F.col("text").isNotNull()).select("path", "text", F.posexplode(matches(F.col("text"), VAR)).alias("use_ord", "m"))
+    found = files.where(F.col("text").isNotNull()).select("path", F.posexplode(matches(F.col("text"), VAR)).alias("use_ord", "m"))
     call = F.col("m.match")
     fallback = js_trim(F.regexp_extract(call, VAR, 2))
-    return found.select("path", "use_ord", F.regexp_extract(call, VAR, 1).alias("name"), F.when(fallback != "", fallback).alias("fallback"), line_of(F.col("text"), F.col("m.offset")).alias("line"), column_of(F.col("text"), F.col("m.offset")).alias("col"))
+    return found.select("path", "use_ord", F.regexp_extract(call, VAR, 1).alias("name"), F.when(fallback != "", fallback).alias("fallback"), "m.line", "m.col")
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
