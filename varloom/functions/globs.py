@@ -22,7 +22,9 @@ def glob_regex(glob: str) -> str:
 def matches_any(path: Column, globs: tuple[str, ...] | list[str]) -> Column:
     """Whether a path, with backslashes as slashes, matches one of the globs anywhere."""
     plain = F.replace(path, F.lit("\\"), F.lit("/"))
-    return reduce(lambda a, b: a | b, [plain.rlike(glob_regex(g)) for g in globs], F.lit(False))
+    # at the ends of an unanchored pattern text of any length asks for nothing, and would be tried from every letter
+    asked = [re.sub(r"^(\.\*(?!\?))+|(\.\*|\[\^/\]\*)+$", "", glob_regex(g)) for g in globs]
+    return reduce(lambda a, b: a | b, [plain.rlike(p) for p in asked], F.lit(False))
 
 
 def extension(path: Column) -> Column:

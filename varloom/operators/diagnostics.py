@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.config import ERROR, HARDCODED, INLINE, REACT_LANGUAGES, UNDEFINED, AnalyzerConfig
-from varloom.functions.text import WS, column_of, js_trim, line_of, matches
+from varloom.functions.text import WS, extent, js_trim, let, matches, moved, place, starts
 from varloom.functions.values import is_allowed, is_hardcoded, property_checked
-from varloom.operators.parse import declarations, rules, var_uses
+from varloom.operators.parse import declarations, placed_uses, rules
 from varloom.sources.files import is_supported
 
 RANGE = ["start_line", "start_col", "end_line", "end_col"]
@@ -36,61 +36,122 @@ def hardcoded_fallbacks(uses: DataFrame) -> DataFrame:
     return uses.where(F.col("fallback").isNotNull() & is_hardcoded(F.col("fallback")))
 
 
+def _components(files: DataFrame, config: AnalyzerConfig, pattern: str) -> DataFrame:
+    return files.where(F.col("lang").isin(*REACT_LANGUAGES) & F.lit(config.inline_enabled) & F.col("text").rlike(pattern))
+
+
+def object_spans(text: Column) -> Column:
+    """array<struct<start, end>> of the style={{...}} of a component, as positions.
+
+    The text is cut at its braces, each with the level that it opens or closes.
+    Sorted by level and order, the brace after an opening one closes it, so the
+    text is read once and its braces sorted once. An object ends where its outer
+    brace closes, or with the text.
+    """
+    braces = F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0))
+    # what stands before each brace, with the brace itself; the rest of the text last
+    cut = F.zip_with(F.split(text, "[{}]", -1), braces, lambda gap, b: F.struct(gap.alias("gap"), F.coalesce(b, F.lit("")).alias("brace")))
+
+    def spans(parts: Column) -> Column:
+        def marked(begin: Column, levels: Column) -> Column:
+            def brace(p: Column, k: Column) -> Column:
+                level = F.get(levels, k) + F.when(p["brace"] == "{", 1).otherwise(0)
+                following = F.get(parts, k + 1)
+                opens = (p["brace"] == "{") & p["gap"].rlike(rf"style[{WS}]*=[{WS}]*\z") & (following["brace"] == "{") & following["gap"].rlike(rf"^[{WS}]*\z")
+                head = F.regexp_extract(p["gap"], rf"style[{WS}]*=[{WS}]*\z", 0)
+                at = F.get(begin, k)
+                start = moved(at, extent(F.substring(p["gap"], F.lit(1), F.length(p["gap"]) - F.length(head))))
+                return F.struct(level.alias("level"), k.alias("k"), F.coalesce(opens, F.lit(False)).alias("opens"), start.alias("start"), moved(at, extent(F.concat(p["gap"], p["brace"]))).alias("end"))
+
+            sorted_ = F.array_sort(F.filter(F.transform(parts, brace), lambda b: b["k"] < F.size(parts) - 1))
+            last = moved(F.get(begin, F.size(parts) - 1), extent(F.get(parts, F.size(parts) - 1)["gap"]))
+
+            def span(s: Column) -> Column:
+                def one(b: Column, i: Column) -> Column:
+                    after = F.get(s, i + 1)
+                    end = F.when(after["level"] == b["level"], after["end"]).otherwise(last)
+                    return F.when(b["opens"], F.struct(b["start"].alias("start"), end.alias("end")))
+
+                return F.array_sort(F.filter(F.transform(s, one), lambda x: x.isNotNull()))
+
+            return let(sorted_, span)
+
+        level = lambda p: place(F.when(p["brace"] == "{", 1).when(p["brace"] == "}", -1).otherwise(0), F.lit(0), F.lit(0))
+        begin = starts(F.transform(parts, lambda p: extent(F.concat(p["gap"], p["brace"]))))
+        levels = F.transform(starts(F.transform(parts, level)), lambda p: p["offset"])
+        return let(begin, lambda b: let(levels, lambda n: marked(b, n)))
+
+    return let(cut, spans)
+
+
 def inline_objects(files: DataFrame, config: AnalyzerConfig) -> DataFrame:
     """style={{...}} in components, up to the brace that closes the first; to the text's end where none does."""
-    found = files.where(F.col("lang").isin(*REACT_LANGUAGES) & F.lit(config.inline_enabled)).select("path", "text", F.posexplode(matches(F.col("text"), STYLE_OBJECT)).alias("ord", "m"))
-    at = F.col("m.offset") + F.length("m.match")
-    # only braces count: the depth after each piece between closing braces
-    pieces = F.split(F.substring("text", at + 1, F.length("text")), r"\}", -1)
-    state = F.struct(F.lit(2).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"))
-
-    def step(s: Column, piece: Column) -> Column:
-        depth = s["depth"] + F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit(""))) - 1
-        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["at"] + F.length(piece) + 1).alias("at"), (depth == 0).alias("done")))
-
-    closed = F.aggregate(pieces, state, step)
-    end = F.when(closed["done"], at + closed["at"]).otherwise(F.length("text"))
-    start = F.col("m.offset")
+    found = _components(files, config, STYLE_OBJECT).select("path", F.posexplode(object_spans(F.col("text"))).alias("ord", "m"))
     message = F.lit("CSS inline detectado — usa clases CSS con variables en vez de style={{}}")
-    return _inline(found, start, end, message, 0)
+    return found.select("path", F.lit(0).alias("phase"), "ord", message.alias("message"), *_range(F.col("m.start"), F.col("m.end")))
 
 
 def inline_expressions(files: DataFrame, config: AnalyzerConfig) -> DataFrame:
     """style={expression} in components, up to the first closing brace."""
-    found = files.where(F.col("lang").isin(*REACT_LANGUAGES) & F.lit(config.inline_enabled)).select("path", "text", F.posexplode(matches(F.col("text"), STYLE_EXPRESSION)).alias("ord", "m"))
+    found = _components(files, config, STYLE_EXPRESSION).select("path", F.posexplode(matches(F.col("text"), STYLE_EXPRESSION)).alias("ord", "m"))
     content = js_trim(F.regexp_extract("m.match", STYLE_EXPRESSION, 1))
     message = F.concat(F.lit("CSS inline detectado (style={"), content, F.lit("}) — usa clases CSS con variables"))
-    return _inline(found, F.col("m.offset"), F.col("m.offset") + F.length("m.match"), message, 1)
+    return found.select("path", F.lit(1).alias("phase"), "ord", message.alias("message"), *_range(F.col("m"), moved(F.col("m"), extent(F.col("m.match")))))
+
+
+def _range(start: Column, end: Column) -> list[Column]:
+    return [start["line"].alias("start_line"), start["col"].alias("start_col"), end["line"].alias("end_line"), end["col"].alias("end_col")]
+
+
+#: Shares over which the uses of a name are dealt when they meet the index, so that a name which every sheet uses is no single task's.
+SHARES = 8
 
 
-def _inline(found: DataFrame, start: Column, end: Column, message: Column, phase: int) -> DataFrame:
-    t = F.col("text")
-    return found.select("path", F.lit(phase).alias("phase"), "ord", message.alias("message"), line_of(t, start).alias("start_line"), column_of(t, start).alias("start_col"), line_of(t, end).alias("end_line"), column_of(t, end).alias("end_col"))
+def _style_findings(decls: DataFrame, index: DataFrame, config: AnalyzerConfig) -> DataFrame:
+    """Undefined uses, hardcoded fallbacks and hardcoded values of declarations, parsed once and joined once with the index's names."""
+    calls = F.when(F.contains("value", F.lit("var(")), placed_uses(F.col("value"), F.col("value_line"), F.col("value_col")))
+    kept = "struct<phase:int,ord:int,name:string,value:string,start_line:int,start_col:int,end_line:int,end_col:int>"
+
+    def item(phase: int, ord_: Column, name: Column, value: Column, place_: list[Column]) -> Column:
+        return F.struct(F.lit(phase), ord_, name, value, *place_).cast(kept)
+
+    none = F.lit(None).cast("string")
+    spot = lambda u: [u[c] for c in RANGE]
+    uses = F.transform(F.col("calls"), lambda u, k: item(0, k, u["name"], none, spot(u)))
+    fallbacks = F.filter(F.transform(F.col("calls"), lambda u, k: item(1, k, none, u["fallback"], spot(u))), lambda x: x["value"].isNotNull())
+    checked = ~F.col("is_definition") & property_checked(F.col("property"), config) & ~is_allowed(F.col("value"), config)
+    own = F.when(checked, F.array(item(2, F.lit(0), none, F.col("value"), [F.col(c) for c in RANGE])))
+    nothing = F.array().cast(f"array<{kept}>")
+    every = F.concat(*[F.coalesce(x, nothing) for x in (uses, fallbacks, own)])
+    rows = decls.select("*", calls.alias("calls")).select("path", "rule_ord", "decl_ord", "property", F.explode(every).alias("f")).select("path", "rule_ord", "decl_ord", "property", "f.*")
+    rows = rows.where((F.col("phase") == 0) | is_hardcoded(F.col("value")))
+    # findings without a name have keys of their own, which no share of the index has
+    spread = F.pmod(F.xxhash64("path", "rule_ord", "decl_ord", "ord"), F.lit(1 << 30))
+    rows = rows.withColumn("__name", F.coalesce("name", F.lit(""))).withColumn("__share", F.when(F.col("phase") == 0, F.pmod(F.xxhash64("path"), F.lit(SHARES))).otherwise(-1 - spread))
+    known = index.select(F.col("name").alias("__name"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("__share"))
+    rows = rows.join(known, ["__name", "__share"], "left_anti")
+    text = F.when(F.col("phase") == 0, F.concat(F.lit("Variable '"), "name", F.lit("' no está definida"))).otherwise(F.concat(F.lit("Valor hardcodeado '"), "value", F.lit("' en '"), "property", F.lit("' - considera usar una variable CSS")))
+    missing = F.col("phase") == 0
+    return rows.select(
+        "path", "phase", F.col("rule_ord").alias("o0"), F.col("decl_ord").alias("o1"), F.col("ord").alias("o2"), F.when(missing, UNDEFINED).otherwise(HARDCODED).alias("kind"), F.when(missing, ERROR).otherwise(config.hardcoded_severity).alias("severity"),
+        text.alias("message"), F.when(~missing, F.col("property")).alias("property"), "value", F.col("name").alias("var_name"), *RANGE,
+    )
 
 
 def diagnostics(files: DataFrame, index: DataFrame, config: AnalyzerConfig) -> DataFrame:
     """path, phase, ord parts, kind, severity, message, property, value, var_name and range of every finding.
 
     Order in a document: undefined uses, hardcoded fallbacks, hardcoded values;
-    components have inline findings only, objects before expressions.
+    components have inline findings only, objects before expressions. A style
+    sheet is parsed once: its declarations make all candidates, which meet the
+    names of the index in one join.
     """
     if not config.enabled:
         files = files.limit(0)
     known = files.where(is_supported(config))
     styles = known.where(~F.col("lang").isin(*REACT_LANGUAGES))
-    decls = declarations(rules(styles))
-    uses = var_uses(decls)
+    found = _style_findings(declarations(rules(styles)), index, config)
     none = F.lit(None).cast("string")
-    hard = lambda value, prop: F.concat(F.lit("Valor hardcodeado '"), value, F.lit("' en '"), prop, F.lit("' - considera usar una variable CSS"))
-
-    def shaped(df: DataFrame, phase: Column, kind: str, severity: int, message: Column, prop: Column, value: Column, name: Column, *order: Column) -> DataFrame:
-        order = [*order, *[F.lit(0)] * (3 - len(order))]
-        return df.select("path", phase.alias("phase"), *[o.cast("int").alias(f"o{k}") for k, o in enumerate(order)], F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message"), prop.alias("property"), value.alias("value"), name.alias("var_name"), *RANGE)
-
-    places = [F.col("rule_ord"), F.col("decl_ord")]
-    missing = shaped(undefined_uses(uses, index), F.lit(0), UNDEFINED, ERROR, F.concat(F.lit("Variable '"), "name", F.lit("' no está definida")), none, none, F.col("name"), *places, F.col("use_ord"))
-    fallbacks = shaped(hardcoded_fallbacks(uses), F.lit(1), HARDCODED, config.hardcoded_severity, hard(F.col("fallback"), F.col("property")), F.col("property"), F.col("fallback"), none, *places, F.col("use_ord"))
-    values = shaped(hardcoded_values(decls, config), F.lit(2), HARDCODED, config.hardcoded_severity, hard(F.col("value"), F.col("property")), F.col("property"), F.col("value"), none, *places)
     inline = inline_objects(known, config).unionByName(inline_expressions(known, config))
-    inline = shaped(inline, F.col("phase"), INLINE, config.inline_severity, F.col("message"), none, none, none, F.col("ord"))
-    return missing.unionByName(fallbacks).unionByName(values).unionByName(inline)
+    inline = inline.select("path", "phase", F.col("ord").alias("o0"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(INLINE).alias("kind"), F.lit(config.inline_severity).alias("severity"), "message", none.alias("property"), none.alias("value"), none.alias("var_name"), *RANGE)
+    return found.unionByName(inline)

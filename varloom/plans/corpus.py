@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.functions.globs import language_of
 from varloom.sources.files import files_from_table
 
 #: Expressions that both SQL dialects read alike; {div} is integer division.
@@ -92,8 +91,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = tokens(spark, sf_dir).unionByName(sheets(spark, sf_dir)).unionByName(components(spark, sf_dir))
-    return files_from_table(every.withColumn("lang", language_of(every["path"])))
+    # languages as constants, so that a query of one language reads only what makes it
+    known = lambda df, lang: df.selectExpr("path", f"'{lang}' AS lang", "text")
+    every = known(tokens(spark, sf_dir).unionByName(sheets(spark, sf_dir)), "css").unionByName(known(components(spark, sf_dir), "typescriptreact"))
+    return files_from_table(every)
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
