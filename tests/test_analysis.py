@@ -173,7 +173,17 @@ def test_similar_names_by_brute_force(spark):
 
     rng = random.Random(5)
     word = lambda: "--" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
-    known, asked = sorted({word() for _ in range(120)}), sorted({word() for _ in range(60)} | {"--zzzzzzzz", "--"})
+    # names around the length from which they meet by segments: two thirds are edits of a few long ones
+    stems = ["--" + "".join(rng.choice("abcd") for _ in range(n)) for n in (36, 38, 39, 41, 60)]
+
+    def edited():
+        name = list(rng.choice(stems))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(2, len(name))
+            name[k : k + rng.randint(0, 1)] = rng.choice(["", "e", "f"])
+        return "".join(name)
+
+    known, asked = sorted({word() for _ in range(120)} | {edited() for _ in range(90)}), sorted({word() for _ in range(60)} | {edited() for _ in range(40)} | {"--zzzzzzzz", "--"})
     index = spark.createDataFrame([(n, 0, "/p", k) for k, n in enumerate(known)], "name string, pattern_ord int, path string, offset int")
     got = {}
     for r in similar_names(spark.createDataFrame([(n,) for n in asked * 2], "name string"), index).collect():
@@ -220,7 +230,7 @@ def test_variables_for_values_by_brute_force(spark):
 
 
 def test_editor_rankings_against_brute_force(spark):
-    names = ["--red", "--dark-red", "--a--red", "--redder", "--RE-d", "--blue-red-red", "--x", "--dark", "--da-", "--zz-top", "--zz-tap", "--zz-tip", "--zz-tup"]
+    names = ["--red", "--dark-red", "--a--red", "--redder", "--RE-d", "--blue-red-red", "--x", "--dark", "--da-", "--zz-top", "--zz-tap", "--zz-tip", "--zz-tup", "--" + "lo" * 14 + "-q", "--x" + "lo" * 20 + "red"]
     rows = [(n, "#fff", "/ws/v.css", 0, 0, k, True, 0, (k * 7) % 3) for k, n in enumerate(names)]
     known = spark.createDataFrame(rows, "name string, value string, path string, line int, col int, offset int, is_color boolean, pattern_ord int, use_count bigint")
 
@@ -229,7 +239,7 @@ def test_editor_rankings_against_brute_force(spark):
     assert by_usage(known.where("false")).count() == 0
 
     words = lambda n: re.sub(r"^(.*?)--", "", n.lower(), count=1).split("-")
-    asked = ["--red", "--dark-redd", "--zz-", "--q", "--dark--", "--re-re-d", "--nothing-here"]
+    asked = ["--red", "--dark-redd", "--zz-", "--q", "--dark--", "--re-re-d", "--nothing-here", "--" + "lo" * 14, "--ol" + "ol" * 12 + "o", "--" + "lo" * 30]
     want = {}
     for a in asked:
         points = [(10 * sum(w in v or v in w for w in words(a) if len(w) > 1 for v in words(n)) + 5 * n.lower().startswith(a.lower()[:5]), k, n) for k, n in enumerate(names)]
@@ -247,3 +257,15 @@ def test_editor_rankings_against_brute_force(spark):
         scored = [(r[8] + 50 * sum(w.lower() in r[0].lower() for w in keywords.get(prop, [])) + (30 if part else 0) + colours, -r[5], r[0]) for r in rows if part.lower() in r[0].lower()]
         best = [(s, n) for s, _, n in sorted(scored, reverse=True)][: 5 if mode == "call" else 50]
         assert [(r["relevance"], r["name"]) for r in sorted((r for r in got if r["cursor_id"] == cursor), key=lambda r: r["rank"])] == best
+
+
+def test_very_long_names(spark):
+    from varloom.operators.suggest import similar_names
+
+    long = "--" + "ab-c" * 1250
+    known = spark.createDataFrame([(n, 0, "/p", k) for k, n in enumerate([long, long[:-7] + "x", "--short", long + "zz"])], "name string, pattern_ord int, path string, offset int")
+    asked = spark.createDataFrame([(long[:3000] + "q" + long[3000:],), ("--shart",)], "name string")
+    assert sorted((len(r["var_name"]), r["rank"], len(r["candidate"])) for r in similar_names(asked, known).collect()) == [(7, 1, 7), (5003, 1, 5002), (5003, 2, 5004), (5003, 3, 4996)]
+    found = editor.hover_similar(asked.unionByName(spark.createDataFrame([("--" + "w" * 5000,)], "name string")), known.unionByName(spark.createDataFrame([("--x" + "w" * 5100, 0, "/p", 9)], known.schema)))
+    best = {(r["name"][:5], r["rank"]): (len(r["candidate"]), r["points"]) for r in found.collect()}
+    assert best["--www", 1] == (5103, 10)

@@ -140,6 +140,10 @@ def completion_details(index: DataFrame, resolved: DataFrame, config: AnalyzerCo
     return r.select("name", F.concat_ws("", *parts).alias("documentation"))
 
 
+#: Words up to this length meet by all their parts, of which there are as many as the length's square; longer ones by their grams.
+SHORT = 24
+
+
 def _parts(text: str, least: int) -> Column:
     """Every distinct part of a text of least letters or more."""
     t = F.col(text)
@@ -148,6 +152,15 @@ def _parts(text: str, least: int) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(F.lit("")), found), lambda p: F.length(p) >= least))
 
 
+def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str) -> DataFrame:
+    """Pairs of words of which i stands within o: o's parts are i, or, where o is long, one of its grams begins i and o holds the rest."""
+    short = outer.where(F.length(o) <= SHORT)
+    exact = short.withColumn(i, F.explode(_parts(o, 0))).join(inner, i).select(i, o)
+    long = outer.where(F.length(o) > SHORT).withColumn("gram", F.explode(F.concat(F.array(F.lit("")), _grams(o))))
+    begun = inner.withColumn("gram", F.substring(i, 1, GRAM)).join(long, "gram").where(F.contains(o, F.col(i))).select(i, o)
+    return exact.unionByName(begun)
+
+
 def hover_similar(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> DataFrame:
     """name, rank, candidate, points: names that share words with a missing one.
 
@@ -164,8 +177,7 @@ def hover_similar(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> D
     mine = asked.select("name", F.explode(words(F.col("name"))).alias("w")).where(F.length("w") >= 2).groupBy("name", "w").agg(F.count("*").alias("n"))
     theirs = known.select("candidate", F.explode(words(F.col("candidate"))).alias("v")).groupBy("candidate", "v").agg(F.count("*").alias("m"))
     w, v = mine.select("w").distinct(), theirs.select("v").distinct()
-    within = w.join(v.withColumn("w", F.explode(_parts("v", 2))), "w").select("w", "v")
-    around = w.withColumn("v", F.explode(_parts("w", 0))).join(v, "v").select("w", "v")
+    within, around = _contained(w, v, "w", "v").select("w", "v"), _contained(v, w, "v", "w").select("w", "v")
     pairs = mine.join(within.unionByName(around).distinct(), "w").groupBy("name", "v").agg(F.sum("n").alias("n"))
     shared = pairs.join(theirs, "v").groupBy("name", "candidate").agg((10 * F.sum(F.col("n") * F.col("m"))).cast("int").alias("points"))
     shared = shared.join(asked, "name").join(known, "candidate").withColumn("points", F.col("points") + F.when(F.startswith("lower", F.col("start")), 5).otherwise(0))

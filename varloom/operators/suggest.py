@@ -32,11 +32,41 @@ def _without(names: DataFrame, text: str, keep: list[str], letters: int) -> Data
     return names.select(*keep, F.explode(F.array_distinct(F.concat(F.array(F.col(text)), parts))).alias("part"))
 
 
+#: Names up to this length meet by what is left when letters go, of which there are as many as the length's square; longer ones by segments.
+SHORT = 40
+
+
+def _segment(length: Column, k: Column, parts: int) -> tuple[Column, Column]:
+    """Start, from 0, and size of segment k when a length is cut into parts as even as can be."""
+    base, longer = F.floor(length / parts), parts - F.pmod(length, F.lit(parts))
+    return (k * base + F.greatest(F.lit(0), k - longer)).cast("int"), (base + F.when(k >= longer, 1).otherwise(0)).cast("int")
+
+
+def _within_long(wanted: DataFrame, known: DataFrame, letters: int) -> DataFrame:
+    """Pairs of long names at an edit distance of at most letters.
+
+    Of one segment more than there are edits one stays whole, and stands in the
+    other name at most that many letters aside; so a name has some dozens of
+    segments to meet by, each shorter than itself.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(letters))).alias("k")
+    right = known.where(F.length("candidate") > SHORT - letters).select("candidate", F.length("candidate").alias("len"), parts)
+    start, size = _segment(F.col("len"), F.col("k"), letters + 1)
+    right = right.select("candidate", "len", "k", F.substring("candidate", start + 1, size).alias("part"))
+    aside = F.sequence(F.lit(-letters), F.lit(letters))
+    left = wanted.where(F.col("n") > SHORT).select("var_name", "n", F.explode(F.transform(aside, lambda x: F.col("n") + x)).alias("len"), F.explode(aside).alias("shift")).select("*", parts)
+    start, size = _segment(F.col("len"), F.col("k"), letters + 1)
+    left = left.select("*", (start + F.col("shift")).alias("at"), size.alias("size")).where("at >= 0 and at + size <= n")
+    left = left.select("var_name", "n", "len", "k", F.substring("var_name", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+    return left.join(right, ["len", "k", "part"]).select("var_name", "n", "candidate").distinct()
+
+
 def _within(wanted: DataFrame, known: DataFrame, letters: int) -> DataFrame:
-    """Pairs of names at an edit distance of at most letters: both leave the same text when that many letters go."""
-    left = _without(wanted, "var_name", ["var_name", "n"], letters).withColumnRenamed("part", "p")
-    right = _without(known, "candidate", ["candidate"], letters)
+    """Pairs of names at an edit distance of at most letters: both leave the same text when that many letters go, or share a segment."""
+    left = _without(wanted.where(F.col("n") <= SHORT), "var_name", ["var_name", "n"], letters).withColumnRenamed("part", "p")
+    right = _without(known.where(F.length("candidate") <= SHORT + letters), "candidate", ["candidate"], letters)
     met = left.join(right, F.col("p") == F.col("part")).select("var_name", "n", "candidate").distinct()
+    met = met.unionByName(_within_long(wanted, known, letters))
     return met.withColumn("lev", F.expr(f"levenshtein(candidate, var_name, {letters})")).where("lev >= 0")
 
 
@@ -53,7 +83,7 @@ def similar_names(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> D
     """var_name, rank, candidate, similarity: the most similar indexed names of each distinct name, above one half.
 
     Names at a distance of one, then two, meet by equality on what both leave
-    when letters are left out. A name longer than d * (d + 1) with enough
+    when letters are left out, long names on segments. A name longer than d * (d + 1) with enough
     candidates within distance d is done: all others are less similar. Only
     what is left then meets by equality on length, dealt over sixteen shares of
     the index, with the edit distance cut off at the bound. Ties follow index
@@ -68,8 +98,10 @@ def similar_names(names: DataFrame, index: DataFrame, limit: int = SIMILAR) -> D
         found.append(done)
         wanted = wanted.join(done.select("var_name"), "var_name", "left_anti")
     share = F.pmod(F.xxhash64("candidate"), F.lit(16))
-    lengths = F.explode(F.expr("sequence(n div 2 + 1, greatest(2 * n - 1, n))"))
-    asked = wanted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>"))).withColumn("len", lengths)
+    # only lengths that the index has: one row, as wide as its longest name at most
+    lengths = known.agg(F.collect_set(F.length("candidate")).alias("lengths"))
+    asked = wanted.join(F.broadcast(lengths)).withColumn("len", F.explode(F.filter("lengths", lambda x: (2 * x > F.col("n")) & (x < 2 * F.col("n"))))).drop("lengths")
+    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")))
     far = asked.join(known.withColumn("len", F.length("candidate")).withColumn("share", share), ["len", "share"])
     far = far.withColumn("lev", F.expr("levenshtein(candidate, var_name, (greatest(n, len) - 1) div 2)")).where("lev >= 0")
     found.append(_best(far, limit))
