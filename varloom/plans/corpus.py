@@ -97,6 +97,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from_table(every)
 
 
+#: A change of the corpus: some variables files rename a third of their names, some sheets call another variable, some go.
+CHANGED = {"tokens": ("path LIKE '%1/variables.css'", "replace(text, '--part-1', '--moved-1')"), "sheets": ("path LIKE '%3.css'", "replace(text, '--nope', '--brand-color')")}
+DELETED = "path LIKE '%77.css'"
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents after the change, and the paths that it wrote or deleted."""
+    every = files(spark, sf_dir)
+    (tokens_hit, tokens_text), (sheets_hit, sheets_text) = CHANGED["tokens"], CHANGED["sheets"]
+    text = f"CASE WHEN {tokens_hit} THEN {tokens_text} WHEN {sheets_hit} THEN {sheets_text} ELSE text END"
+    after = every.where(f"NOT {DELETED}").selectExpr("path", "lang", f"{text} AS text", "pattern_ord")
+    return after, every.where(f"{tokens_hit} OR {sheets_hit} OR {DELETED}").select("path")
+
+
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, value, property, path: varied inputs of the scalar functions."""
     return _table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr("k AS case_id", f"{_spark(VALUE_TEXT, VALUE_NUMBER)} AS value", f"{_spark(PROPERTY_TEXT)} AS property", f"{_spark(PATH_TEXT)} AS path")

@@ -9,7 +9,7 @@ from varloom.functions.color import NAMED
 from varloom.functions.globs import glob_regex
 from varloom.functions.values import COLOR_PROPERTIES, FONT_PROPERTIES, SPACING_PROPERTIES, UNITS
 from varloom.operators.report import TITLE
-from varloom.plans.corpus import CHANGES_SQL, COMPONENTS_SQL, CURSORS_SQL, SHEETS_SQL, TOKENS_SQL, VALUES_SQL
+from varloom.plans.corpus import CHANGED, CHANGES_SQL, COMPONENTS_SQL, CURSORS_SQL, DELETED, SHEETS_SQL, TOKENS_SQL, VALUES_SQL
 
 RULE = r"([^{}]+)\{([^{}]*)\}"
 DECLARATION = r"([a-zA-Z-]+)\s*:\s*([^;]+);?"
@@ -361,4 +361,9 @@ SQL = {
     "autofix_summary": f"{ACTIONS}, {FIXED}, {AFTER} SELECT CAST((SELECT sum(n_fixes) FROM fixed) AS BIGINT) AS fixes, (SELECT count(*) FROM fixed) AS files, * FROM tot_2",
     "split_compound": SPLIT,
 }
+_T, _S = CHANGED["tokens"], CHANGED["sheets"]
+FILES_AFTER = FILES.replace("tokens AS (", "tokens_1 AS (", 1).replace("sheets AS (", "sheets_1 AS (", 1).replace(
+    ", files AS", f", tokens AS (SELECT path, lang, CASE WHEN {_T[0]} THEN {_T[1]} ELSE text END AS text FROM tokens_1 WHERE NOT {DELETED}), sheets AS (SELECT path, lang, CASE WHEN {_S[0]} THEN {_S[1]} ELSE text END AS text FROM sheets_1 WHERE NOT {DELETED}), files AS", 1
+)
+SQL["change_rediagnose"] = SQL["diagnostics"].replace(FILES, FILES_AFTER)
 SQL["change_incremental_index"] = SQL["change_replay_index"]

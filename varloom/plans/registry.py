@@ -13,7 +13,7 @@ from varloom.plans import corpus
 from varloom.plans.analyzer import Analyzer
 from varloom.plans.oracle import SQL as ORACLE_SQL
 from varloom.sources.files import distinct_paths as distinct_files
-from varloom.streaming import changes
+from varloom.streaming import changes, rediagnose
 
 CONFIG = AnalyzerConfig()
 RANGE = ["start_line", "start_col", "end_line", "end_col"]
@@ -251,6 +251,14 @@ def change_incremental_index(spark, sf_dir):
     return index.variable_index(changes.apply_batch(before, part(True))).select("name", "value", "path")
 
 
+def change_rediagnose(spark, sf_dir):
+    """Findings after a change, from those before and the documents that it touches."""
+    before, (files, changed) = _a(spark, sf_dir), corpus.changed_files(spark, sf_dir)
+    after = Analyzer(spark, CONFIG).load(files)
+    found = rediagnose.rediagnose(before.diagnostics, rediagnose.name_uses(before.files), after.files, changed, before.variables, after.variables, CONFIG)
+    return found.select("path", "phase", "o0", "o1", "o2", "kind", "severity", "message", "value", "var_name", *RANGE)
+
+
 def parse_errors(spark, sf_dir):
     """Every seventh style sheet without its text."""
     files = corpus.files(spark, sf_dir).withColumn("text", F.when(~F.col("path").endswith("7.css"), F.col("text")))
@@ -281,7 +289,7 @@ QUERIES = {
         inline_expressions, inline_objects, diagnostics, file_report, project_report, report_lines, report_quick_list, resolved_variables, alias_chains, resolution_stop_reason, resolution_descriptions,
         similar_names_top3, suggest_for_value_top3, completions, completion_details, hover_similar_top3, hover, hover_missing, goto_definition, variable_at_cursor, property_at_cursor,
         code_actions, autofix_text, autofix_summary, glob_filter, offset_to_position, position_to_offset, line_text, search_by_name, search_by_keywords, variables_by_usage, variables_quick_list, change_replay_index,
-        change_incremental_index, parse_errors, color_info, distinct_paths, variable_index_all_files,
+        change_incremental_index, change_rediagnose, parse_errors, color_info, distinct_paths, variable_index_all_files,
     )
 }
 
