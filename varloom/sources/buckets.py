@@ -1,4 +1,4 @@
-"""Tables kept by bucket of the path, replaced bucket by bucket without a moment in which rows are gone."""
+"""Tables kept by bucket of a key, replaced bucket by bucket without a moment in which rows are gone."""
 
 from __future__ import annotations
 
@@ -18,13 +18,14 @@ class BucketTable:
 
     A replacement writes new files first and its commit last. Readers take each
     bucket from its last committed version, so a write that breaks off changes
-    nothing. Files that two later versions have replaced are deleted. One writer
-    at a time.
+    nothing. Files that two later versions have replaced are deleted. Of two
+    writers of the same buckets the second to finish fails and has to read again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "path"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         self.jvm = spark._jvm
+        self.seen = 0
 
     def _fs(self, path: str):
         where = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -51,7 +52,9 @@ class BucketTable:
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         """All rows, or those of some buckets."""
-        live = [(v, b) for b, v in self.current().items() if buckets is None or b in buckets]
+        current = self.current()
+        self.seen = max(current.values(), default=0)
+        live = [(v, b) for b, v in current.items() if buckets is None or b in buckets]
         fields = T.StructType([*T._parse_datatype_string(self.schema).fields, T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType())])
         paths = [p for p in (f"{self.path}/data/version={v}/bucket={b}" for v, b in live) if self._exists(p)]  # a bucket without rows has no folder
         if not paths:
@@ -59,14 +62,27 @@ class BucketTable:
         return self.spark.read.schema(fields).option("basePath", f"{self.path}/data").parquet(*paths).drop("version", "bucket")
 
     def replace(self, rows: DataFrame, buckets: list[int]) -> None:
-        """Make rows (of the schema, with a path) all that these buckets hold; rows of other buckets must not occur."""
+        """Make rows of the schema all that these buckets hold; rows of other buckets must not occur.
+
+        Raises where another writer has replaced one of them since this table was
+        last read.
+        """
         commits = self.commits()
         version = max(commits, default=0) + 1
+        while True:  # a number of its own for each writer, also where another broke off
+            fs, where = self._fs(f"{self.path}/claims/{version:012d}")
+            if fs.createNewFile(where):
+                break
+            version += 1
         data = f"{self.path}/data/version={version}"
-        rows.withColumn("bucket", bucket_of(F.col("path"))).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        rows.withColumn("bucket", bucket_of(F.col(self.key))).write.mode("overwrite").partitionBy("bucket").parquet(data)
         done = set(buckets)
+        newer = {v for v, bs in self.commits().items() if v > self.seen and done & set(bs)}
+        if newer:  # what was read is no longer what the buckets hold
+            raise RuntimeError(f"{self.path}: another writer has replaced the same buckets; read again and retry")
         fs, where = self._fs(f"{self.path}/commits/{version:012d}-{'.'.join(format(b, 'x') for b in sorted(done))}")
-        fs.create(where, True).close()
+        fs.create(where, False).close()
+        self.seen = version
         last: dict[int, list[int]] = {}
         for v, bs in sorted(commits.items()):
             for b in bs:
