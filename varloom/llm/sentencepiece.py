@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ BLANK = "▁"
 INDEX_CHARS = 200_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
 MEMORY = 400_000
+#: Words seen once that are remembered, so that those which come again after many others are not learned anew.
+ONCE = 300_000
 #: Characters of a batch that are cut into words at once; a longer text is taken alone.
 SLICE_CHARS = 4_000_000
 
@@ -357,9 +359,10 @@ class Codec:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
-        for known, most in ((self.words, MEMORY), (self.starts, MEMORY), (self.once, MEMORY // 4)):
-            if len(known) > most:
-                known.clear()
+        for known, most in ((self.words, MEMORY), (self.starts, MEMORY), (self.once, ONCE)):
+            if len(known) > most:  # the oldest go
+                for word in list(islice(known, len(known) - most // 2)):
+                    del known[word]
         words: set[str] = set()
         firsts: set[str] = set()
         for lines in cut:
@@ -385,11 +388,12 @@ class Codec:
         self.once.update((w, self.words.pop(w)) for w in words)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         top = len(self.raw)
-        if ids and (min(ids) < 0 or max(ids) >= top):
-            ids = [i for i in ids if 0 <= i < top]
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
+        numbers = np.asarray(ids, dtype=np.int64)
+        if len(numbers) and (numbers.min() < 0 or numbers.max() >= top):
+            numbers = numbers[(numbers >= 0) & (numbers < top)]
+        text = b"".join(map(self.raw.__getitem__, numbers.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -430,6 +434,6 @@ def decode(tokens: DataFrame, model: PieceModel, ids_col: str = "token_ids", tex
         codec = _codec(shared.value)
         for rows in batches:
             # an array with a null in it does not come as one of integers
-            yield pd.Series([None if ids is None else codec.decode(ids.tolist() if ids.dtype.kind == "i" else [int(i) for i in ids if i is not None and i == i]) for ids in rows], dtype=object)
+            yield pd.Series([None if ids is None else codec.decode(ids if ids.dtype.kind == "i" else [int(i) for i in ids if i is not None and i == i]) for ids in rows], dtype=object)
 
     return tokens.drop(text_col).withColumn(text_col, F.pandas_udf(decoded, T.StringType())(ids_col))
