@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm.common import small_batches, worker_state
+from varloom.llm.common import small_batches, trim, worker_state
 
 BLANK = "▁"
 #: Characters of a batch's distinct words that one suffix array indexes.
 INDEX_CHARS = 200_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Words seen once that are remembered, so that those which come again after many others are not learned anew.
-ONCE = 300_000
+ONCE = 200_000
 #: Characters of a batch that are cut into words at once; a longer text is taken alone.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 #: Letters from which a word is relaxed by itself.
 LONG = 64
@@ -178,7 +178,7 @@ class Codec:
             new = codes[~known]
             found = np.array([self.merged(a + b) == ([a, b] if a else [b]) for a, b in ((self._name(int(c // CODES - CODES)), self._name(int(c % CODES))) for c in new)], bool)
             answer[~known] = found
-            if len(self.pairs) > 4 * MEMORY:
+            if len(self.pairs) > 6 * MEMORY:
                 self.pairs, self.fits = self.pairs[:1], self.fits[:1]
             pairs, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, found])
             order = np.argsort(pairs, kind="stable")
@@ -355,7 +355,9 @@ class Codec:
                 part, size = [], 0
             part.append(text)
             size += len(text)
-        return out + self._encode(part)
+        out += self._encode(part)
+        trim()  # what the arrays of a batch leave between the words that stay
+        return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
