@@ -25,9 +25,9 @@ BLANK = "▁"
 #: Characters of a batch's distinct words that one suffix array indexes.
 INDEX_CHARS = 200_000
 #: Distinct words and pair checks a worker remembers before it starts anew.
-MEMORY = 250_000
+MEMORY = 400_000
 #: Words seen once that are remembered, so that those which come again after many others are not learned anew.
-ONCE = 200_000
+ONCE = 300_000
 #: Characters of a batch that are cut into words at once; a longer text is taken alone.
 SLICE_CHARS = 2_000_000
 
@@ -178,7 +178,7 @@ class Codec:
             new = codes[~known]
             found = np.array([self.merged(a + b) == ([a, b] if a else [b]) for a, b in ((self._name(int(c // CODES - CODES)), self._name(int(c % CODES))) for c in new)], bool)
             answer[~known] = found
-            if len(self.pairs) > 6 * MEMORY:
+            if len(self.pairs) > 4 * MEMORY:
                 self.pairs, self.fits = self.pairs[:1], self.fits[:1]
             pairs, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, found])
             order = np.argsort(pairs, kind="stable")
