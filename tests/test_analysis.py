@@ -127,6 +127,14 @@ def test_read_files(spark, tmp_path):
     assert [(r["path"], r["lang"], r["text"]) for r in rows] == [(str(tmp_path / "sub dir" / "a+b.css"), "css", SHEET)]
 
 
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "good.css").write_text(".x{color: var(--gone)} /* é 😀 */")
+    (tmp_path / "bad.css").write_bytes(b".x{color: var(--gone)}\xff")
+    a = Analyzer(spark).load_path(str(tmp_path))
+    assert [r["path"] for r in a.parse_errors.collect()] == [str(tmp_path / "bad.css")]
+    assert tuple(a.project_report.first()) == (1, 2, 1)
+
+
 def test_change_feed(spark, tmp_path):
     feed = [(1, "/a.css", "upsert", "a{--x: 1px;}"), (2, "/b.css", "upsert", "a{--x: 2px; --y: 3px;}"), (3, "/a.css", "delete", None), (4, "/c.css", "upsert", "a{--z: 4px;}")]
     schema = "seq long, path string, op string, text string"

