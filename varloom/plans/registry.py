@@ -14,6 +14,7 @@ from varloom.plans.analyzer import Analyzer
 from varloom.plans.oracle import SQL as ORACLE_SQL
 from varloom.sources.files import decoded, project_files
 from varloom.sources.files import distinct_paths as distinct_files
+from varloom.sources.shared import written
 from varloom.streaming import changes, rediagnose
 
 CONFIG = AnalyzerConfig()
@@ -256,7 +257,8 @@ def change_rediagnose(spark, sf_dir):
     """Findings after a change, from those before and the documents that it touches."""
     before, (files, changed) = _a(spark, sf_dir), corpus.changed_files(spark, sf_dir)
     after = Analyzer(spark, CONFIG).load(files)
-    found = rediagnose.rediagnose(before.diagnostics, rediagnose.name_uses(before.files), after.files, changed, before.variables, after.variables, CONFIG)
+    stored, uses = written(before.diagnostics, "findings"), written(rediagnose.name_uses(before.files), "uses")
+    found = rediagnose.rediagnose(stored, uses, after.files, changed, before.variables, after.variables, CONFIG)
     return found.select("path", "phase", "o0", "o1", "o2", "kind", "severity", "message", "value", "var_name", *RANGE)
 
 

@@ -9,6 +9,7 @@ from varloom.config import REACT_LANGUAGES, AnalyzerConfig
 from varloom.operators.diagnostics import diagnostics
 from varloom.operators.parse import document_uses
 from varloom.sources.buckets import BucketTable, bucket_of
+from varloom.sources.shared import written
 
 USES, FINDINGS = "name string, path string", "path string, phase int, o0 int, o1 int, o2 int, kind string, severity int, message string, property string, value string, var_name string, start_line int, start_col int, end_line int, end_col int"
 
@@ -35,8 +36,9 @@ def rediagnose(stored: DataFrame, uses: DataFrame, files: DataFrame, changed: Da
     stored: findings before; uses: name_uses before; files: all documents after;
     changed: paths that were written or deleted; before and after: the indexes.
     Documents that are not affected are neither parsed nor joined with the index.
+    The affected paths are written once, since every kind of finding reads them.
     """
-    touched = affected(changed, changed_names(before, after), uses)
+    touched = written(affected(changed, changed_names(before, after), uses), "affected")
     again = diagnostics(files.join(touched, "path", "left_semi"), after, config)
     return stored.join(touched, "path", "left_anti").unionByName(again)
 
