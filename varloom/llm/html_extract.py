@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -26,16 +27,24 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that never hold article text.
-OUTSIDE = set("head nav header footer aside form button dialog menu search label select svg".split())
+OUTSIDE = set("head nav header footer aside form button dialog menu search select svg".split())
+#: Elements that are part of a sentence, and those that hold sentences.
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+SENTENCES = HEADINGS | set("p li dt dd td th caption figcaption blockquote summary".split())
 #: What a new element closes, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that mark boilerplate.
+#: Names of a class, id or role that mark boilerplate.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus reply replies"
     " respond widget toolbar pagination pager contentinfo complementary dialog search login outbrain taboola".split()
 )
 HEADER_HINTS = {"header", "topbar"}
+#: Words that say what part or place of a page a name is for; a name of hints and such words alone is a hint, any other word makes it another thing.
+FRAME = set(
+    "area articles article bar block body bottom box button buttons close container content count desktop fixed floating footer form global group header icon icons inline inner item items left link links list"
+    " main message mobile outer page panel placeholder post posts primary region right row secondary section site slot sticky stories thread title tools top unit wrap wrapper zone".split()
+)
 #: Hints of lists that often hold articles or much text of their own.
 LISTS = set("comment comments disqus reply replies respond related recommended recommendations outbrain taboola".split())
 
@@ -84,6 +93,7 @@ class Page:
         self.hinted: list[list] = []  # text held, hints, paragraphs, title: elements outside by a hint alone
         self.roots: list[list] = []  # name, text held, hinted elements around, outside by element
         self.size = self.plain = 0  # text that no element puts outside; that outside hints and roots
+        self.begun = False  # whether the block that is open has text already
         stack: list[tuple] = []  # name, outside, content root, outside by element, hinted elements, roots
         at = 0
         for m in MARKUP.finditer(text):
@@ -112,6 +122,7 @@ class Page:
         held, roots = stack[-1][4:6] if stack else ((), ())
         if not stack or not stack[-1][3]:
             n = len("".join(text.split()))
+            self.begun |= n > 0
             self.size += n
             self.plain += 0 if held or roots or stack and stack[-1][1] else n
             for k in held:
@@ -150,7 +161,12 @@ class Page:
                     break
         outside, inside, _ = self._flags(stack)
         solid, held, roots = stack[-1][3:6] if stack else (False, (), ())
-        words, hidden = _hints(attrs) if attrs and attrs != "/" else (set(), False)
+        names, hidden = _names(attrs) if attrs and attrs != "/" else (set(), False)
+        words = frozenset().union(*map(_marks, names)) if names else frozenset()
+        if name in BLOCK:
+            self.begun = False
+        elif name in INLINE and (self.begun or any(s[0] in SENTENCES for s in stack)):
+            words = frozenset()
         if name in ("main", "article"):
             self.roots.append([name, 0, held, solid])
             roots = (*roots, len(self.roots) - 1)
@@ -161,7 +177,7 @@ class Page:
         if name not in ("html", "body", "main", "article"):
             solid = solid or hidden or name in OUTSIDE and name != "header" or name == "noscript" and not roots
             outside = outside or solid or name == "header"
-            if name not in HEADINGS and (words & HINTS or not inside and words & HEADER_HINTS):
+            if name not in HEADINGS and (words - HEADER_HINTS or not inside and words):
                 self.hinted.append([0, words, 0, False])
                 outside = outside or len(self.hinted) - 1 not in self.spared
                 held = (*held, len(self.hinted) - 1)
@@ -173,11 +189,13 @@ class Page:
             outside = solid = True
         if name in HEADINGS and inside and any(s[0] == "header" for s in stack) and not _banned(stack):
             outside = False  # the title of an article stands in its header
-        self.items.append(("tag", name + "".join(sorted("." + w for w in words)), outside, inside, False))
+        self.items.append(("tag", name + "".join(sorted("." + w for w in names)), outside, inside, False))
         if name not in VOID and not attrs.endswith("/"):
             stack.append((name, outside, inside, solid, held, roots))
 
     def _close(self, name: str, stack) -> None:
+        if name in BLOCK:
+            self.begun = False
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
                 outside, inside, _ = self._flags(stack[:k])
@@ -195,19 +213,27 @@ def _banned(stack) -> bool:
     return False
 
 
-def _hints(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words: set[str] = set()
+def _names(attrs: str) -> tuple[set[str], bool]:
+    """Whole names of class, id and role in lower case, and whether the element is hidden."""
+    names: set[str] = set()
     hidden = False
     for m in ATTRIBUTE.finditer(attrs):
         key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if m[5]:
             hidden = True
         elif key in ("class", "id", "role"):
-            words.update(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().replace("_", "-").replace("-", " ").split())
+            names.update(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().replace("_", "-").split())
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return words, hidden
+    return names, hidden
+
+
+@lru_cache(maxsize=4096)
+def _marks(name: str) -> frozenset[str]:
+    """The hints that a whole name is made of; none where any other word is part of it, as in share-price."""
+    parts = {p for p in name.split("-") if p and not p.isdigit()}
+    found = parts & (HINTS | HEADER_HINTS)
+    return frozenset(found) if found and parts <= HINTS | HEADER_HINTS | FRAME else frozenset()
 
 
 def _token(kind: str, content: str) -> int:
