@@ -106,3 +106,17 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in p.near_copies(spark, d, "").collect()), key=str)
     assert got == sorted([(1, a), (0, b + " tail"), (None, "its own words stand here alone"), (5, ""), (5, None)], key=str)
+
+
+def test_disguises_without_letters_with_signs_and_in_pieces():
+    from varloom.llm.toxicity import CharModel, Restorer, count_trigrams, restored_words
+
+    plain = ["you are an idiot so stupid the least of all fools and you know that it is the one thing to say"] * 40 + ["asse stupid idiot asse"] * 20
+    restorer = Restorer(CharModel(count_trigrams(plain)), {"stupid", "idiot", "asse"})
+    for text, word in [
+        ("4$$e", "asse"), ("@$$3", "asse"), ("4 $ $ 3", "asse"), ("you/stupid", "stupid"), ("you.idiot", "idiot"), ("so...you,idiot!", "idiot"), ("s.t.u.p.i.d", "stupid"),
+        ("it is st up id.", "stupid"), ("s tu pid", "stupid"), ("s tu p1d", "stupid"), ("ѕtupіd", "stupid"), ("іdiоt", "idiot"), ("you-$tup1d/1d10t", "stupid"),
+    ]:
+        assert word in restored_words(text, restorer), (text, restored_words(text, restorer))
+    assert restored_words("455 1,000 12:30 1 2 3", restorer) == set()
+    assert not {"stupid", "idiot", "asse"} & restored_words("as se. stu pid, id io, t the state of it is to be", restorer)

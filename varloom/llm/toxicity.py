@@ -17,10 +17,12 @@ from varloom.llm.common import materialise, small_batches, trim, worker_state
 
 #: Letters that a written character may stand for, besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Letters of other scripts that look like these ones.
+LEET |= dict(zip("аеорсхуіјѕԁһкмтвнαερτυνικο", "aeopcxyijsdhkmtbhaeptuviko", strict=True))
 #: Log probabilities of the channel: a letter written as itself, as a look-alike, repeated, or with a mark put after it.
 SAME, ALIKE, REPEAT, MARK = math.log(0.96), math.log(0.02), math.log(0.02), math.log(0.01)
 LOST = math.log(0.0005)  # a look-alike that stands for nothing
-PART = math.log(0.2)  # a word ends inside a spaced run
+PART = math.log(0.2)  # a word ends inside a spaced run, or at a sign inside a token
 PREFIX = 5  # letters of a word's beginning that are judged like a word of their own
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +32,12 @@ ALPHABET = 28
 #: Three single characters in a row, with any white space between them: letters spaced out.
 SPACED_HINT = re.compile(r"(?<!\S)\S\s++\S\s++\S(?!\S)")
 SPACED_RUN = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
+#: Runs of three and more pieces of one to three characters, parted by white space alone.
+PIECES = re.compile(r"(?<!\S)[\w@$!|+(€£]{1,3}+(?:\s++[\w@$!|+(€£]{1,3}+(?=[\s.,;:!?]|\Z)){2,}+")
+FOREIGN = re.compile("[" + "".join(c for c in LEET if c.isalpha()) + "]")
+NUMBER = re.compile(r"[\d.,:/%+-]+")
+SIGN = re.compile(r"[^\w]")
+PARTING = re.compile("[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 DRAWN = re.compile(r"(.)\1{3,}", re.DOTALL)
@@ -87,6 +95,31 @@ class Restorer:
             found = self.known[token] = self.decode(token)
         return found
 
+    def parts(self, token: str) -> list[str]:
+        """The likeliest words behind a token with signs in it, each sign a mark or the end of a word."""
+        key = "/" + token
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = self.search(token, signs=True)[1]
+        return found.split()
+
+    def joined(self, run: str) -> set[str]:
+        """The known words that three or more whole pieces of a run make together, look-alikes restored."""
+        pieces, out = run.split(), set()
+        longest = self.lengths[-1] if self.lengths else 0
+        for i in range(len(pieces) - 2):
+            word = pieces[i] + pieces[i + 1]
+            for piece in pieces[i + 2 :]:
+                word += piece
+                if len(word) > 2 * longest:
+                    break
+                if word.isalpha() and not FOREIGN.search(word):
+                    if word in self.words:
+                        out.add(word)
+                elif not word.isdigit():
+                    out.update({self.restore(word)} & self.words)
+        return out
+
     def known_in(self, word: str, shortest: int = SHORTEST) -> set[str]:
         """The known words, of every length they have, that stand anywhere in a word."""
         return {word[i : i + n] for n in self.lengths if n >= shortest for i in range(len(word) - n + 1)} & self.words
@@ -101,7 +134,7 @@ class Restorer:
         """
         return self.search(token, spaced)[1]
 
-    def search(self, token: str, spaced: bool = False) -> tuple[float, str]:
+    def search(self, token: str, spaced: bool = False, signs: bool = False) -> tuple[float, str]:
         """Log probability and letters of the best path through the whole lattice; no path is cut off."""
         rows = self.rows
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -128,7 +161,7 @@ class Restorer:
                         old = nxt.get((a, b))
                         if old is None or old[0] < got:
                             nxt[a, b] = (got, path)
-            if spaced:  # a word may end behind any letter
+            if spaced or signs and drop is not None:  # a word may end behind any letter, or at a sign
                 ends = [(score + rows[a][b][0] + PART, path) for (a, b), (score, path) in nxt.items() if b]
                 if ends:
                     score, path = max(ends, key=lambda e: e[0])
@@ -136,7 +169,7 @@ class Restorer:
                     if old is None or old[0] < score:
                         nxt[0, 0] = (score, (path, " "))
             states = nxt
-        best, path = max(((score + (rows[a][b][0] if b or not spaced else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda e: e[0], default=(0.0, None))
+        best, path = max(((score + (rows[a][b][0] if b or not (spaced or signs) else 0.0), path) for (a, b), (score, path) in states.items()), key=lambda e: e[0], default=(0.0, None))
         text = []
         while path:
             path, x = path
@@ -156,37 +189,52 @@ def restored_words(text: str, restorer: Restorer) -> set[str]:
     A token of letters alone has one path through its lattice and stays as it
     is; only tokens with look-alikes, marks or repeated letters are decoded,
     beside their plain form, and runs of single characters as words without
-    blanks between them. A look-alike right in front of a token or behind it may
-    be its letter.
+    blanks between them. Look-alikes right in front of a token or behind it may
+    be its letters. A sign inside a token is a mark in its word or parts two
+    words. Tokens of digits and the signs of numbers are numbers. Three and more
+    pieces of up to three characters make a word where it is a known one.
     """
     text = text.lower()
     tokens = set(text.split())
     out = {t for t in tokens if t.isalpha()}
     for token in tokens - out:
         core = token.strip(EDGES)
-        if not core:
-            continue
-        i = len(token) - len(token.lstrip(EDGES))
+        i = len(token) - len(token.lstrip(EDGES)) if core else 0
         j = i + len(core)
-        wide = (token[i - 1] if i and token[i - 1] in STARTS else "") + core + (token[j] if j < len(token) and token[j] in ENDS else "")
+        while i and token[i - 1] in STARTS:
+            i -= 1
+        while j < len(token) and token[j] in ENDS:
+            j += 1
+        wide = token[i:j]
         if core.isalpha():
             out.add(core)
             if wide == core:
                 continue
-        if len(wide) >= 3 and sum(map(str.isalpha, wide)) >= 2:
+        if wide and not NUMBER.fullmatch(wide):
             out |= _restored(wide, restorer)
+            if SIGN.search(core):
+                out.update(w for w in restorer.parts(DRAWN.sub(r"\1\1\1", core)) if len(w) >= SHORTEST)
+                for piece in PARTING.split(core):
+                    if len(piece) >= SHORTEST and not NUMBER.fullmatch(piece):
+                        out |= _restored(piece, restorer)
+    if FOREIGN.search(text):
+        for token in [t for t in out if FOREIGN.search(t)]:
+            out |= _restored(token, restorer)
     if DOUBLED.search(text):
         for token in [t for t in out if DOUBLED.search(t)]:
             out |= _restored(token, restorer)
     if SPACED_HINT.search(text):
         for run in SPACED_RUN.findall(text):
             letters = "".join(run.split())
-            if sum(map(str.isalpha, letters)) < 2:
+            if NUMBER.fullmatch(letters):
                 continue
             parted = restorer.decode(letters, spaced=True).split()
             out.update(w for w in parted if len(w) >= SHORTEST)
             out |= restorer.known_in("".join(parted))
             out |= _restored(letters, restorer)
+    if restorer.words:
+        for run in set(PIECES.findall(text)):
+            out |= restorer.joined(run)
     out.discard("")
     return out
 
