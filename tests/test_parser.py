@@ -125,3 +125,25 @@ def test_globs_without_their_ends(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", *[matches_any(F.col("p"), [g]).alias(f"g{k}") for k, g in enumerate(globs)]).collect()
     for r in rows:
         assert [r[f"g{k}"] for k in range(len(globs))] == [bool(re.search(glob_regex(g), r["p"].replace("\\", "/"))) for g in globs], r["p"]
+
+
+def test_pieces_of_a_text(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("a:\nxé;;") for _ in range(rng.choice([0, 1, 40, 90, 2000]))) for _ in range(40)] + [";" * (text.PIECE - 1), ";" * text.PIECE, "a:;" * 5000]
+    counted = lambda p: F.contains(p, F.lit(":"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.pieces(F.col("t"), F.replace("t", F.lit(":"), F.lit("!")), ";", counted).alias("p")).collect()
+    for r in rows:
+        before = ""
+        for piece in r["p"]:
+            assert piece["text"].count(";") < text.PIECE and piece["masked"] == piece["text"].replace(":", "!")
+            assert (piece["at"]["offset"], piece["at"]["line"], piece["at"]["col"]) == (len(before), *at(r["t"], len(before)))
+            assert piece["first"] == sum(":" in p for p in before.split(";"))
+            before += piece["text"] + ";"
+        assert before == r["t"] + ";"
+
+
+def test_parts_are_computed_once(spark):
+    # no filter computes the parts a second time
+    decls = parse.declarations(parse.rules(table(spark, ["a{b: c}"])))
+    plan = decls._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan and "Filter ((size(" not in plan
