@@ -277,3 +277,28 @@ def test_very_long_names(spark):
     found = editor.hover_similar(asked.unionByName(spark.createDataFrame([("--" + "w" * 5000,)], "name string")), known.unionByName(spark.createDataFrame([("--x" + "w" * 5100, 0, "/p", 9)], known.schema)))
     best = {(r["name"][:5], r["rank"]): (len(r["candidate"]), r["points"]) for r in found.collect()}
     assert best["--www", 1] == (5103, 10)
+
+
+def test_hover_with_frequent_words(spark, monkeypatch):
+    import random
+
+    from varloom.operators import editor
+
+    rng = random.Random(12)
+    words = ["ab", "a", "abc", "xy", "y", "zz", "q"]
+    known = sorted({"--" + "-".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(80)})
+    asked = sorted({"--" + "-".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(25)})
+    index = spark.createDataFrame([(n, 0, "/v.css", k) for k, n in enumerate(known)], "name string, pattern_ord int, path string, offset int")
+    names = spark.createDataFrame([(n,) for n in asked], "name string")
+    for frequent in (3, 100):
+        monkeypatch.setattr(editor, "FREQUENT", frequent)
+        got = {}
+        for r in editor.hover_similar(names, index).orderBy("name", "rank").collect():
+            got.setdefault(r["name"], []).append((r["candidate"], r["points"]))
+        for name in asked:
+            def points(c, name=name):
+                mine = [w for w in name[2:].split("-") if len(w) >= 2]
+                return 10 * sum(w in v or v in w for w in mine for v in c[2:].split("-")) + 5 * c.startswith(name[:5])
+
+            best = sorted(((c, points(c)) for c in known if points(c)), key=lambda x: (-x[1], known.index(x[0])))[:3]
+            assert got.get(name, []) == best, name
