@@ -302,3 +302,10 @@ def test_hover_with_frequent_words(spark, monkeypatch):
 
             best = sorted(((c, points(c)) for c in known if points(c)), key=lambda x: (-x[1], known.index(x[0])))[:3]
             assert got.get(name, []) == best, name
+
+
+def test_actions_parse_documents_once(spark):
+    files = spark.createDataFrame([("/ws/variables.css", ":root{--ab: red;}"), ("/ws/a.css", "a{color: var(--ac)} b{color: red}")], "path string, text string")
+    actions = Analyzer(spark).load(files).code_actions
+    assert "posexplode" not in actions._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["title"], r["new_text"]) for r in actions.collect()} == {("¿Quisiste decir var(--ab)?", "var(--ab"), ("Reemplazar con var(--ab)", "var(--ab)")}
