@@ -147,3 +147,15 @@ def test_parts_are_computed_once(spark):
     decls = parse.declarations(parse.rules(table(spark, ["a{b: c}"])))
     plan = decls._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan and "Filter ((size(" not in plan
+
+
+def test_only_what_can_call_is_placed(spark):
+    """Uses and definitions of the narrowed parse are those of the whole one, and no filter makes a call's array again."""
+    texts = ["a{x:1;y:var(--b);z:2}b{--c:1;x:2}c{--d:var(--e,red)}", "a{x:va!importantr(--f);y:3}b{q:1}", "a{" + "x:1;" * 70 + "y:var(--g)}" + "b{x:2}" * 40 + "c{--h:1}", "a{x:\n !IMPORTANT}b{y: \u3000;z:\u00a0 \n}"]
+    a = Analyzer(spark).load(table(spark, texts))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(a.uses) == rows(parse.var_uses(a.declarations)) and a.uses.count() == 4
+    assert rows(a.rule_definitions) == rows(parse.rule_definitions(a.declarations)) and a.rule_definitions.count() == 3
+    # an inner explode of calls got a filter on the array's size, which made the array again
+    plan = a.uses._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan and not re.search(r"Filter \(?\(size\(", plan)
