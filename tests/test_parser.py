@@ -159,3 +159,9 @@ def test_only_what_can_call_is_placed(spark):
     # an inner explode of calls got a filter on the array's size, which made the array again
     plan = a.uses._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan and not re.search(r"Filter \(?\(size\(", plan)
+
+
+def test_no_filter_makes_an_exploded_array_again(spark):
+    a = Analyzer(spark).load(table(spark, [":root{--a: 1px;}", "a{color:red;fill:var(--a, #fff)}"]))
+    for found in (a.diagnostics, a.definitions, a.uses, parse.document_uses(a.files), diag.hardcoded_values(a.declarations, AnalyzerConfig())):
+        assert not re.search(r"Filter \(+size\(", found._jdf.queryExecution().optimizedPlan().toString())
