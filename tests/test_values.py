@@ -92,3 +92,14 @@ def test_sql_functions(spark):
 
     register_functions(spark)
     assert tuple(spark.sql("SELECT css_is_color(' Red '), css_is_hardcoded('12px'), css_first_var('x var( --a , b)'), css_similarity('--brnd', '--brand')").first()) == (True, True, "--a", 6 / 7)
+
+
+def test_nearest_name_without_an_interpreted_loop(spark):
+    """The distance is bounded below 50, the first of equals wins, and no lambda runs over the names."""
+    rows = [(0, 255, 255), (0, 254, 255), (128, 128, 128), (255, 255, 255), (40, 90, 20), (60, 60, 120), (200, 10, 90), (17, 3, 200)]
+    df = spark.createDataFrame([(r,) for r in rows], "c struct<r:int,g:int,b:int>").select("c", color.nearest_name(F.col("c")).alias("name"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    codes = [(n, tuple(int(x[i : i + 2], 16) for i in (1, 3, 5))) for n, x in color.NAMED.items() if n != "transparent"]
+    for c, name in df.collect():
+        square, _, best = min((sum((a - b) ** 2 for a, b in zip(c, code, strict=True)), k, n) for k, (n, code) in enumerate(codes))
+        assert name == (best if square < 2500 else None)
