@@ -309,3 +309,37 @@ def test_actions_parse_documents_once(spark):
     actions = Analyzer(spark).load(files).code_actions
     assert "posexplode" not in actions._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["title"], r["new_text"]) for r in actions.collect()} == {("¿Quisiste decir var(--ab)?", "var(--ab"), ("Reemplazar con var(--ab)", "var(--ab)")}
+
+
+def test_completions_meet_by_whole_filters(spark, monkeypatch):
+    import random
+
+    rng = random.Random(16)
+    names = sorted({"--" + "-".join(rng.choice(["part", "pa", "Color", "bg", "font", "1", "12", "123"]) for _ in range(rng.randint(1, 4))) for _ in range(120)})
+    rows = [(n, "#fff", "/ws/v.css", 0, 0, k, k % 3 == 0, 0, k % 2) for k, n in enumerate(names)]
+    known = spark.createDataFrame(rows, "name string, value string, path string, line int, col int, offset int, is_color boolean, pattern_ord int, use_count bigint")
+    resolved = known.select("name", "value", F.col("value").alias("resolved_value"))
+    parts = sorted({n[i:j] for n in rng.sample(names, 12) for i in (0, 2, 3, 5) for j in (3, 4, 5, 7, 9, 20) if i < j} | {"", "p", "PA", "par", "part-1x", "12", "-"})
+    contexts = [(k, rng.choice(["name", "call"]), rng.choice([None, "color", "background", "font-size"]), p) for k, p in enumerate(parts * 2)]
+    keywords = AnalyzerConfig().keywords
+    monkeypatch.setattr(editor, "COMPLETIONS_IN_VAR", 4)
+    monkeypatch.setattr(editor, "COMPLETIONS_BEFORE_VAR", 2)
+    for head in (4, 64):
+        monkeypatch.setattr(editor, "HEAD", head)
+        got = {}
+        for r in editor.completions(spark.createDataFrame(contexts, "cursor_id int, mode string, property string, filter string"), known, resolved, AnalyzerConfig()).orderBy("cursor_id", "rank").collect():
+            got.setdefault(r["cursor_id"], []).append((r["relevance"], r["name"]))
+        for cursor, mode, prop, part in contexts:
+            colours = 40 * any(h in (prop or "") for h in COLOR_HINTS)
+            scored = [(-(r[8] + 50 * sum(w in r[0].lower() for w in keywords.get(prop, [])) + (30 if part else 0) + (colours if r[6] else 0)), r[5], r[0]) for r in rows if part.lower() in r[0].lower()]
+            assert got.get(cursor, []) == [(-s, n) for s, _, n in sorted(scored)[: 2 if mode == "call" else 4]], (cursor, mode, prop, part)
+
+
+def test_completions_parse_documents_once(spark):
+    files = spark.createDataFrame([("/ws/variables.css", ":root{--ab: red; --ac: var(--ab);}"), ("/ws/a.css", "a{color: var(--a)}")], "path string, text string")
+    cursors = spark.createDataFrame([(1, "/ws/a.css", 0, 16)], "cursor_id int, path string, line int, col int")
+    found = Analyzer(spark).load(files).completions(cursors)
+    # neither definitions nor the cursors' lines are made again by what follows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan
+    assert [r["name"] for r in found.orderBy("rank").collect()] == ["--ab", "--ac"]
