@@ -343,3 +343,50 @@ def test_completions_parse_documents_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "split(" not in plan
     assert [r["name"] for r in found.orderBy("rank").collect()] == ["--ab", "--ac"]
+
+
+def test_values_outside_the_colour_cube(spark):
+    import math
+    import random
+
+    from varloom.operators.suggest import variables_for_values
+
+    rng = random.Random(22)
+    shade = lambda top: tuple(rng.randrange(top) for _ in range(3))
+    known = [(f"--k{k}", shade(rng.choice([20, 90, 256]))) for k in range(400)] + [(f"--o{k}", (280 + k, 3, 250)) for k in range(3)]
+    asked = [shade(300) for _ in range(60)] + [(299, 5, 7), (270, 260, 258), (900, 0, 0), (299, 255, 7)]
+    text = lambda c: f"rgb({c[0]}, {c[1]}, {c[2]})"
+    for some in (known, known[:4], known[:400]):
+        index = spark.createDataFrame([(n, text(c), "/ws/v.css", 0, 0, k, True, 0, 0) for k, (n, c) in enumerate(some)], "name string, value string, path string, line int, col int, offset int, is_color boolean, pattern_ord int, use_count bigint")
+        resolved = index.select("name", "value", F.col("value").alias("resolved_value"))
+        found = variables_for_values(spark.createDataFrame([(text(c),) for c in asked], "value string"), index, resolved)
+        got = {}
+        for r in found.orderBy("value", "rank").collect():
+            got.setdefault(r["value"], []).append((r["candidate"], round(r["score"], 6)))
+        for c in asked:
+            scored = sorted((-100.0 if c == o else math.dist(c, o) / 5 - 50, k, n) for k, (n, o) in enumerate(some))
+            assert got.get(text(c), []) == [(n, round(-s, 6)) for s, _, n in scored if s < -10][:3], c
+
+
+def test_values_read_tables_written_once(spark):
+    from varloom.operators.suggest import variables_for_values
+
+    files = spark.createDataFrame([("/ws/variables.css", ":root{--ab: red; --ac: var(--ab);}")], "path string, text string")
+    a = Analyzer(spark).load(files)
+    found = variables_for_values(spark.createDataFrame([("red",), ("#f00",)], "value string"), *a.kept)
+    # neither the documents nor the chains of aliases are made again by what the branches read
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "var(" not in plan
+    assert {(r["value"], r["rank"], r["candidate"]) for r in found.collect()} == {("red", 1, "--ab"), ("red", 2, "--ac"), ("#f00", 1, "--ab")}
+
+
+def test_globs_of_a_fixed_text(spark):
+    from varloom.functions.globs import glob_regex, matches_any
+
+    paths = ["/ws/variables.css", "/ws/variablesxcss", "C:\\ws\\dist\\a.css", "/ws/a[1].css", "/ws/a1.css", "/ws/ab.min.css", "/a/bcss", "/ac/b", "x"]
+    globs = ["**/variables.css", "**/dist/**", "**/a[1].css", "**/*.min.css", "b?css", "a*/b", "**/*", "*"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = df.select("path", *[matches_any(F.col("path"), [g]).alias(g) for g in globs])
+    assert "contains(" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in got.collect():
+        assert [r[g] for g in globs] == [re.search(glob_regex(g), r["path"].replace("\\", "/")) is not None for g in globs], r["path"]
